@@ -13,6 +13,8 @@ and alike; ties at a limit stay; an empty table gives an empty result. All colum
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,26 +25,36 @@ MIN_DOCS, MIN_SHARE, MIN_LEFT = 10, 0.002, 0.2
 BROADCAST_LINES = 500_000
 
 
-def _normal(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, r"[ \t\r]+", " ")))
+def _text() -> Column:
+    return F.coalesce(F.col("text"), F.lit(""))
+
+
+def _normal(text: Column) -> Column:
+    """The lines of a text as they are compared."""
+    return F.transform(F.split(F.lower(F.regexp_replace(text, r"[ \t\r]{2,}|[\t\r]", " ")), "\n"), lambda x: F.trim(x))
 
 
 def _hash(line: Column) -> Column:
-    return F.unhex(F.substring(F.md5(_normal(line)), 1, 16))
+    return F.unhex(F.substring(F.md5(line), 1, 16))
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
 
 
-def _lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n")
+def _length(lines: Column, hashes: Column) -> Column:
+    """Characters in lines that aren't blank."""
+    return F.aggregate(F.zip_with(lines, hashes, lambda x, h: F.when(h != F.lit(_BLANK), F.length(x)).otherwise(0)), F.lit(0), lambda n, x: n + x)
 
 
-def _filled(lines: Column) -> Column:
-    return F.filter(lines, lambda x: _normal(x) != "")
+_BLANK = bytes.fromhex(hashlib.md5(b"").hexdigest()[:16])
 
 
 def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
     """(host, line): the hashes of the lines above their host's limit."""
     host = F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host")
-    hashed = docs.select(host, F.transform(_filled(_lines(F.col("text"))), _hash).alias("h")).where(F.size("h") > 0)
+    hashed = docs.select(host, F.transform(F.filter(_normal(_text()), lambda x: x != ""), _hash).alias("h")).where(F.size("h") > 0)
     lines = hashed.select("host", F.xxhash64(F.array_min("h"), F.array_max("h")).alias("doc"), F.explode(F.array_distinct("h")).alias("line"))
     found = lines.distinct().groupBy("host", "line").count().where(F.col("count") > min_docs)
     hosts = docs.groupBy(host).agg(F.count("*").alias("docs"))
@@ -53,23 +65,27 @@ def filtered(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_S
     """The documents that aren't rejected, without their frequent lines."""
     bad = written(frequent_lines(docs, min_docs, min_share), "lines")
     host = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    hashes = F.transform(_lines(F.col("text")), _hash)
+    hashes = F.transform(_normal(_text()), _hash)
     if bad.count() <= broadcast_lines:
         per_host = F.broadcast(bad.groupBy(F.col("host").alias("__host")).agg(F.collect_list("line").alias("__bad")))
         out = docs.withColumn("__h", host).join(per_host, F.col("__h") == F.col("__host"), "left")
-        out = out.withColumn("__bad", F.when(F.col("__bad").isNotNull(), F.array_intersect(hashes, "__bad")))
     else:
         own = docs.select("doc_id", host.alias("host"), F.explode(F.array_distinct(hashes)).alias("line"))
         per_doc = own.join(bad, ["host", "line"]).groupBy(F.col("doc_id").alias("__d"), F.col("host").alias("__host")).agg(F.collect_set("line").alias("__bad"))
         out = docs.withColumn("__h", host).join(per_doc, (F.col("__h") == F.col("__host")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left")
-    lines = _lines(F.col("text"))
-    kept = F.when(F.size("__bad") > 0, F.filter(lines, lambda x: (_normal(x) == "") | ~F.array_contains(F.col("__bad"), _hash(x)))).otherwise(lines)
-    length = lambda a: F.aggregate(_filled(a), F.lit(0).cast("long"), lambda n, x: n + F.length(x))
-    out = out.withColumn("__kept", kept).withColumn("__was", length(lines)).withColumn("__is", F.when(F.size("__bad") > 0, length(F.col("__kept"))).otherwise(F.col("__was")))
-    out = out.where((F.col("__is") > 0) & (F.col("__is") >= F.col("__was") * min_left))
-    new = {"text": F.when(F.size("__bad") > 0, F.array_join("__kept", "\n")).otherwise(F.col("text"))}
-    result = out.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
-    return result.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else result
+    whole = F.struct(_text().alias("text"), (F.trim(F.translate(_text(), "\t\r\n", "   ")) != "").alias("ok"))
+
+    def cut(s: Column) -> Column:
+        lines, h, found = F.split(_text(), "\n"), s["h"], s["found"]
+        kept = F.filter(F.arrays_zip(lines.alias("x"), h.alias("h")), lambda z: ~F.array_contains(found, z["h"]))
+        return _let(kept, lambda k: _let(F.aggregate(F.transform(k, lambda z: F.when(z["h"] != F.lit(_BLANK), F.length(z["x"])).otherwise(0)), F.lit(0), lambda n, x: n + x), lambda n: F.struct(F.array_join(F.transform(k, lambda z: z["x"]), "\n").alias("text"), ((n > 0) & (n >= _length(lines, h) * min_left)).alias("ok"))))
+
+    found = _let(hashes, lambda h: F.struct(h.alias("h"), F.array_intersect(h, F.col("__bad")).alias("found")))
+    result = F.when(F.col("__bad").isNull(), whole).otherwise(_let(found, lambda s: F.when(F.size(s["found"]) == 0, whole).otherwise(cut(s))))
+    # The generator makes each row's text once; a filter on it would be computed apart from it.
+    out = out.select(*docs.columns, F.inline(F.filter(F.array(result), lambda r: r["ok"])).alias("__text", "__ok"))
+    new = {"text": F.col("__text"), "n_chars": F.length("__text")}
+    return out.select(*[(new[c] if c in new else F.col(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def sql(table: str = "documents") -> str:
