@@ -1,2 +1,43 @@
-ORACLE_SQL=None
-def run(spark, sf_dir): pass
+"""Documents to packed sequences: toxicity, quality rules, near duplicates, personal data, packing."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from symscape.llm import minhash, packing, pii, quality, toxicity
+from symscape.llm.common import table, written
+
+#: Some stages are models of a labelled sample or graph searches, which SQL can't express; tests compare them with brute force.
+ORACLE_SQL = None
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The model learns from the labelled documents of the whole table; its decisions are about docs."""
+    model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.without_toxic(docs, model)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.filtered(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.deduplicated(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redacted(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pieces(docs)
+
+
+STAGES = [("toxicity", without_toxic), ("quality_rules", quality_rules), ("minhash_near_dedup", near_duplicates), ("pii", personal_data), ("packing", packed)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

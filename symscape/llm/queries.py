@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symscape.llm import minhash, packing, quality, secrets
+from symscape.llm import minhash, packing, pii, quality, secrets, toxicity
 from symscape.llm.common import table
 
 
@@ -16,6 +16,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxic_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.filtered(table(spark, sf_dir, "documents"))
 
@@ -24,6 +29,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_duplicates, op3_packing, op7_quality_rules, op8_secret_scan)}
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.findings(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_duplicates, op3_packing, op6_toxicity, op7_quality_rules, op8_secret_scan, op9_personal_data)}
 
 SQL = {"op3_packing": packing.sql(), "op7_quality_rules": quality.sql(), "op8_secret_scan": secrets.sql()}
