@@ -229,26 +229,31 @@ def fit(texts: list[tuple[str, int]]) -> Model | None:
     """texts: (text, label), label 1 for toxic."""
     seen: tuple[dict[str, int], dict[str, int]] = ({}, {})
     contexts: tuple[dict[str, set], dict[str, set]] = (defaultdict(set), defaultdict(set))
-    count: tuple[Counter, Counter] = (Counter(), Counter())
+    count: tuple[Counter, Counter] = (Counter(), Counter())  # as a document's score counts them
+    holders = Counter()
     docs = sum(1 for _, y in texts if y)
     if not docs or docs == len(texts):
         return None
     total = [0, 0]
     for text, y in texts:
+        own, tokens = Counter(), 0
         for sentence in _SENTENCE.split(text):
             if sentence in seen[y]:
                 continue
             seen[y][sentence] = 1
             words = ["", *strings_of(sentence), ""]
-            total[y] += len(sentence.split())
-            count[y].update(words[1:-1])
+            tokens += len(sentence.split())
+            own.update(words[1:-1])
             for a, w, b in zip(words, words[1:], words[2:], strict=False):
                 contexts[y][w].add((a, b))
+        total[y] += tokens
+        count[y].update({w: min(n, 1 + tokens // PER) for w, n in own.items()})
+        holders.update(own.keys() if y else ())
     if not total[0] or not total[1]:
         return None
     rate = lambda w: (count[1][w] / total[1]) / ((count[0][w] + 0.5) / total[0])
-    least = max(4, 0.006 * docs)
-    telling = {w: len(c) for w, c in contexts[1].items() if len(c) >= least and rate(w) >= TELLING}
+    least = max(5, 0.006 * docs)
+    telling = {w: len(c) for w, c in contexts[1].items() if len(c) >= least and holders[w] >= 3 and rate(w) >= TELLING}
     # Landmarks: again and again the token to which most contexts of tokens without a near landmark are near.
     some = [w for w in sorted(telling, key=lambda w: (-telling[w], w))[:600] if len({_bit(c) for c in w}) <= 16]
     chosen: list[str] = []
