@@ -33,6 +33,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each longer by underscores until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     """(doc_id, text, more...) without rows whose id or text is null; other columns, whatever their names, are dropped."""
     return docs.select("doc_id", "text", *more).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())

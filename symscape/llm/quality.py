@@ -18,7 +18,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symscape.llm.common import written
+from symscape.llm.common import free, quoted, written
 
 MIN_DOCS, MIN_SHARE, MIN_LEFT = 10, 0.002, 0.2
 #: Largest number of frequent lines that is sent to all executors; beyond it they are joined by host and line.
@@ -66,13 +66,14 @@ def filtered(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_S
     bad = written(frequent_lines(docs, min_docs, min_share), "lines")
     host = F.coalesce(F.col("source").cast("string"), F.lit(""))
     hashes = F.transform(_normal(_text()), _hash)
+    h, key, other, cut_out, new_text, ok = free(docs, "__h", "__host", "__d", "__bad", "__text", "__ok")
     if bad.count() <= broadcast_lines:
-        per_host = F.broadcast(bad.groupBy(F.col("host").alias("__host")).agg(F.collect_list("line").alias("__bad")))
-        out = docs.withColumn("__h", host).join(per_host, F.col("__h") == F.col("__host"), "left")
+        per_host = F.broadcast(bad.groupBy(F.col("host").alias(key)).agg(F.collect_list("line").alias(cut_out)))
+        out = docs.withColumn(h, host).join(per_host, F.col(h) == F.col(key), "left")
     else:
         own = docs.select("doc_id", host.alias("host"), F.explode(F.array_distinct(hashes)).alias("line"))
-        per_doc = own.join(bad, ["host", "line"]).groupBy(F.col("doc_id").alias("__d"), F.col("host").alias("__host")).agg(F.collect_set("line").alias("__bad"))
-        out = docs.withColumn("__h", host).join(per_doc, (F.col("__h") == F.col("__host")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left")
+        per_doc = own.join(bad, ["host", "line"]).groupBy(F.col("doc_id").alias(other), F.col("host").alias(key)).agg(F.collect_set("line").alias(cut_out))
+        out = docs.withColumn(h, host).join(per_doc, (F.col(h) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(other)), "left")
     whole = F.struct(_text().alias("text"), (F.trim(F.translate(_text(), "\t\r\n", "   ")) != "").alias("ok"))
 
     def cut(s: Column) -> Column:
@@ -80,12 +81,13 @@ def filtered(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_S
         kept = F.filter(F.arrays_zip(lines.alias("x"), h.alias("h")), lambda z: ~F.array_contains(found, z["h"]))
         return _let(kept, lambda k: _let(F.aggregate(F.transform(k, lambda z: F.when(z["h"] != F.lit(_BLANK), F.length(z["x"])).otherwise(0)), F.lit(0), lambda n, x: n + x), lambda n: F.struct(F.array_join(F.transform(k, lambda z: z["x"]), "\n").alias("text"), ((n > 0) & (n >= _length(lines, h) * min_left)).alias("ok"))))
 
-    found = _let(hashes, lambda h: F.struct(h.alias("h"), F.array_intersect(h, F.col("__bad")).alias("found")))
-    result = F.when(F.col("__bad").isNull(), whole).otherwise(_let(found, lambda s: F.when(F.size(s["found"]) == 0, whole).otherwise(cut(s))))
+    found = _let(hashes, lambda h: F.struct(h.alias("h"), F.array_intersect(h, F.col(cut_out)).alias("found")))
+    result = F.when(F.col(cut_out).isNull(), whole).otherwise(_let(found, lambda s: F.when(F.size(s["found"]) == 0, whole).otherwise(cut(s))))
     # The generator makes each row's text once; a filter on it would be computed apart from it.
-    out = out.select(*docs.columns, F.inline(F.filter(F.array(result), lambda r: r["ok"])).alias("__text", "__ok"))
-    new = {"text": F.col("__text"), "n_chars": F.length("__text")}
-    return out.select(*[(new[c] if c in new else F.col(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    columns = [quoted(c) for c in docs.columns]
+    out = out.select(*columns, F.inline(F.filter(F.array(result), lambda r: r["ok"])).alias(new_text, ok))
+    new = {"text": F.col(new_text), "n_chars": F.length(new_text)}
+    return out.select(*[(new[c] if c in new else F.col(quoted(c))).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def sql(table: str = "documents") -> str:
