@@ -40,7 +40,7 @@ def sentences(n, toxic, seed):
 
 @pytest.fixture(scope="module")
 def model():
-    return toxicity.fit([(t, 1) for t in sentences(120, True, 1)] + [(t, 0) for t in sentences(300, False, 2)])
+    return toxicity.fit([(t, 1) for t in sentences(120, True, 1)] + [(t, 0) for t in sentences(1500, False, 2)])
 
 
 def test_held_out_accuracy_and_altered_spellings(model):
