@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from symscape import code_queries  # noqa: F401
 from symscape.queries import QUERIES, SQL
 
 D = "/root/testdata/sf0.001"
@@ -36,4 +37,4 @@ def test_against_sql(spark, db, name):
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in SQL])
 def test_others_run(spark, name):
-    assert QUERIES[name](spark, D).count() > 0
+    assert QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0
