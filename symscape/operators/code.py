@@ -14,8 +14,8 @@ from symscape.schemas import CALLABLE_KINDS, TYPE_KINDS
 _CASES = "test parameterizedtest repeatedtest testfactory testtemplate fact theory testcase testcasesource testmethod datatestmethod".split()
 _SUITES = "nested suite testclass testfixture testsuite".split()
 _ROUTES = "GetMapping PostMapping PutMapping DeleteMapping PatchMapping RequestMapping GET POST PUT DELETE PATCH Path Controller Get Post Put Delete Patch HttpGet HttpPost HttpPut HttpDelete HttpPatch Route route get post put delete patch".split()
-_ENTRIES = sorted({*_ROUTES, "Scheduled", "EventListener", "KafkaListener", "fixture", "Component"} - {"Path"})
-_VERBS = ("route", "get", "post", "put", "delete", "patch")
+_ENTRIES = sorted(({*_ROUTES} - {"Path"}) | set("Component EventListener KafkaListener Scheduled fixture".split()))
+_VERBS = tuple("delete get patch post put route".split())
 _MARKERS = "Transactional Scheduled KafkaListener EventListener Injectable property staticmethod classmethod abstractmethod cached_property fixture memo forwardRef ApiController".split()
 #: Languages in which a bare call may mean a member of the caller's own type.
 OWN_MEMBERS = "java typescript javascript tsx vue svelte csharp kotlin cpp rust make go bash".split()

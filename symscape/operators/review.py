@@ -11,7 +11,7 @@ from symscape.functions import paths, text
 from symscape.operators import code, names, stats
 from symscape.schemas import CALLABLE_KINDS, TYPE_KINDS
 
-CHECKS = ("dup", "recover", "dead", "orphan", "api", "place")
+CHECKS = tuple("dup recover dead orphan api place".split())
 COMMON_NAMES = "main toString equals hashCode close run setUp tearDown __init__ __str__ __repr__ get set build".split()
 SIMILAR, SHORTEST, MOST_DUPLICATES, LEAST_MASS, MOST_NAMES = 0.7, 5, 10, 3, 8
 

@@ -71,8 +71,8 @@ def transcript_metrics(lines: DataFrame) -> DataFrame:
     events = lines.select("run", "place", F.from_json("value", "type string, message struct<content: string>, num_turns int, result string, usage struct<input_tokens: bigint, output_tokens: bigint, cache_creation_input_tokens: bigint, cache_read_input_tokens: bigint>").alias("e")).where("e.type IS NOT NULL")
     uses = events.where("e.type = 'assistant'").select("run", F.explode(F.from_json("e.message.content", block)).alias("b")).where("b.type = 'tool_use'").select("run", F.col("b.name").alias("tool"), F.col("b.input.file_path").alias("path"), F.coalesce("b.input.command", F.lit("")).alias("command"))
     shell = F.col("tool") == "Bash"
-    search = F.col("tool").isin("Grep", "Glob") | shell & F.col("command").rlike(r"\b(grep|rg|find|fd|ag)\b")
-    read = (F.col("tool") == "Read") | shell & ~search & F.col("command").rlike(r"\b(cat|head|tail|sed -n|less|more)\b")
+    search = F.col("tool").isin("Grep", "Glob") | shell & F.col("command").rlike(r"\b(ag|fd|find|grep|rg)\b")
+    read = (F.col("tool") == "Read") | shell & ~search & F.col("command").rlike(r"\b(cat|head|less|more|sed -n|tail)\b")
     tools = uses.groupBy("run").agg(F.count_if(read).alias("reads"), F.count_if(search).alias("searches"), F.count_if(F.col("tool").isin("Edit", "Write", "NotebookEdit")).alias("edits"), F.countDistinct(F.when(F.col("tool") == "Read", F.col("path"))).alias("files_read"))
     last = events.where("e.type = 'result'").groupBy("run").agg(F.max_by("e", "place").alias("e"))
     n = lambda c: F.coalesce(F.col(f"e.usage.{c}"), F.lit(0))

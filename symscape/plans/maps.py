@@ -15,7 +15,7 @@ from symscape.schemas import CALLABLE_KINDS, TYPE_KINDS
 
 #: Order of what competes for room at equal rank.
 CATEGORIES = ("chain", "method", "constant", "test", "private", "type")
-LETTERS = {"record": "R", "class": "C", "interface": "I", "enum": "E", "fn": "F", "type": "T"}
+LETTERS = {k: k[0].upper() for k in TYPE_KINDS}
 LEGEND = "K(..) type by letter  :supers  ←implementors  ✓ tested  ×0 no reference  > calls  = constants  - private  ? tests"
 MOST_IMPLEMENTORS = 6
 
@@ -139,7 +139,7 @@ def landmarks(facts: DataFrame, calls: DataFrame) -> DataFrame:
     return shown.withColumn("rank", F.row_number().over(w.orderBy(*order))).withColumn("omitted", F.greatest(F.count("*").over(w) - 3, F.lit(0))).where("rank <= 3").select("snapshot", "file", "name", "rank", "omitted")
 
 
-# --- the map within a document -------------------------------------------------------------------------
+# --- the map within a document
 
 START, END = "<!-- map:start -->", "<!-- map:end -->"
 
@@ -151,7 +151,7 @@ def embedded(existing: str, body: str) -> str:
     b = existing.find(END, a + len(START)) if a >= 0 else -1
     if b >= 0:
         return existing[:a] + block + existing[b + len(END) :]
-    return (existing.rstrip("\n") + "\n\n" if existing.strip() else "") + block + "\n"
+    return ("" if existing.isspace() or not existing else existing.rstrip("\n") + "\n\n") + block + "\n"
 
 
 def stripped(existing: str) -> str:

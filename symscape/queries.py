@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from symscape import schemas
 from symscape.functions import paths, text
 from symscape.operators import graph, names, stats
 
@@ -28,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# --- text ----------------------------------------------------------------------------------------
+# --- text
 
 
 @query("SELECT lang, source, CAST(count(*) AS BIGINT) AS docs, CAST(sum((length(text) + 3) // 4) AS BIGINT) AS tokens FROM documents GROUP BY ALL")
@@ -70,7 +71,7 @@ def strip_strings(spark, d):
 
 
 @query(rf"""WITH c AS (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'API_KEY' WHEN p_size % 7 = 0 THEN 'TOKENS' ELSE upper(replace(p_name, ' ', '_')) END AS name, CASE WHEN p_size % 3 = 0 THEN '"' || p_type || '"' WHEN p_size % 11 = 0 THEN '''ghp_' || p_brand || '''' ELSE CAST(p_size AS VARCHAR) END AS value FROM part)
-SELECT p_partkey, CASE WHEN length(value) > 24 OR regexp_matches(name, '(?i)(^|_)({text.SECRET_NAMES})(_|$|S(_|$))') OR regexp_matches(value, '^[''"]({text.SECRET_VALUES})') THEN name ELSE name || '=' || value END AS display FROM c""")
+SELECT p_partkey, CASE WHEN length(value) > 24 OR regexp_matches(name, '(?i)(^|_)({schemas.SECRET_NAMES})(_|$|S(_|$))') OR regexp_matches(value, '^[''"]({schemas.SECRET_VALUES})') THEN name ELSE name || '=' || value END AS display FROM c""")
 def secret_redact(spark, d):
     size, q = F.col("p_size"), F.lit('"')
     name = F.when(size % 5 == 0, "API_KEY").when(size % 7 == 0, "TOKENS").otherwise(F.upper(F.replace("p_name", F.lit(" "), F.lit("_"))))
@@ -89,7 +90,7 @@ def html_extract(spark, d):
     return table(spark, d, "pages").select("page_id", F.array_join(tags, ",").alias("tags"), F.size(F.regexp_extract_all("html", F.lit(r"(?i)<script\b"), 0)).cast("long").alias("scripts"))
 
 
-# --- joins ---------------------------------------------------------------------------------------
+# --- joins
 
 
 @query("""WITH s AS (SELECT s_suppkey, s_nationkey, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey), a AS (SELECT s_nationkey, min(s_suppkey) AS one FROM s GROUP BY 1 HAVING count(*) = 1), b AS (SELECT n_regionkey, min(s_suppkey) AS one FROM s GROUP BY 1 HAVING count(*) = 1)
@@ -153,7 +154,7 @@ def name_similarity(spark, d):
     return names.similar_names(part.where("p_partkey % 2 = 0"), part.where("p_partkey % 2 = 1"), ["type"])
 
 
-# --- aggregations ----------------------------------------------------------------------------------
+# --- aggregations
 
 
 @query("SELECT l_partkey, CAST(count(DISTINCT o_custkey) AS BIGINT) AS customers FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
@@ -213,7 +214,7 @@ def shared_by_all(spark, d):
     return part.groupBy("p_type").agg(F.count("*").alias("n")).crossJoin(groups).where("n = groups").select("p_type")
 
 
-# --- windows, order, limits --------------------------------------------------------------------------
+# --- windows, order, limits
 
 
 @query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
@@ -274,7 +275,7 @@ def counterbalanced_schedule(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).select("c_custkey", ((F.col("c_custkey") + F.col("k")) % 4).cast("long").alias("arm"), F.col("k").cast("long").alias("turn"))
 
 
-# --- sets and graphs -----------------------------------------------------------------------------------
+# --- sets and graphs
 
 
 def _parts_of_year(year: int) -> str:

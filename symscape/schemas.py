@@ -21,5 +21,10 @@ RUNS = (
     "reads int, files_read int, searches int, edits int, turns int, tokens_in long, tokens_out long, runner_duration_seconds double, schema_version int"
 )
 
-TYPE_KINDS = ("class", "interface", "record", "enum", "type")
+TYPE_KINDS = tuple("class interface record enum type".split())
 CALLABLE_KINDS = ("fn", "method")
+
+#: Parts of names, and beginnings of quoted values, of constants whose value is never shown.
+SECRET_NAMES = "|".join("APIKEY AUTH BEARER COOKIE CREDENTIALS? DSN KEY NONCE PASSWD PASSWORD PWD SALT SECRET SESSION SIGNATURE TOKEN".split())
+SECRET_VALUES = "|".join("-----BEGIN AIza AKIA ASIA eyJ gho_ ghp_ github_pat_ glpat- pk- sk- xox[a-z]- ya29[.]".split())
+LONGEST_VALUE = 24

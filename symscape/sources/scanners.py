@@ -7,7 +7,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 
-from symscape.sources.python_code import base, constant, tight, unique
+from symscape.sources.python_code import base, constant, signature, tight, unique
 
 _BLANKED = re.compile(r"/\*.*?\*/|//[^\n]*|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
 _NOT_CALLS = set("if for while switch catch return sizeof typeof match when using lock fixed synchronized super function func fn fun def foreach elseif assert await yield throw throws in not and or unless until guard defer go select case".split())
@@ -129,7 +129,7 @@ def braces(text: str, lang: str) -> list[dict]:
     def visible(before: str, name: str, member: bool) -> str:
         words = set(before.split())
         if lang == "go":
-            return "pub" if name[:1].isupper() else "priv"
+            return ("priv", "pub")[name[:1].isupper()]
         if lang == "rust":
             return "pub" if "pub" in before else "priv"
         if lang == "c":
@@ -235,7 +235,7 @@ def braces(text: str, lang: str) -> list[dict]:
         made = name in ("constructor", "__construct", "init") or container and name == container
         out.append({
             "name": name, "kind": "ctor" if made and container else "method" if container else "fn", "line": line(m.start()), "params": [t for t, _ in parts], "param_names": [n for _, n in parts], "returns": None if made else returns,
-            "signature": f"{name}({','.join(t for t, _ in parts)})" + (f":{returns}" if returns and not made and returns not in ("void", "Unit", "None") else ""), "visibility": visible(before, name, bool(container)), "container": container,
+            "signature": signature(name, [t for t, _ in parts], None if made else returns), "visibility": visible(before, name, bool(container)), "container": container,
             "calls": calls_in(inner, name), "raises": raises_in(inner, (after and after["throws"]) or ""), "bindings": bindings_of(parts, inner), "decorators": notes,
             "size": line(stop) - line(body) + 1 if body is not None else 0, "_at": m.start(),
         })
@@ -244,7 +244,7 @@ def braces(text: str, lang: str) -> list[dict]:
             body = code.find("{", m.end()) if re.match(r"\s*\{", code[m.end() :]) else None
             inner = code[body : curly.get(body, len(code))] if body is not None else code[m.end() : code.find("\n", m.end())]
             parts = [parameter(p, lang) for p in split_top(m["params"])]
-            out.append({"name": m["name"], "kind": "fn", "line": line(m.start("name")), "params": [t for t, _ in parts], "param_names": [n for _, n in parts], "returns": m["ret"], "signature": f"{m['name']}({','.join(t for t, _ in parts)})" + (f":{m['ret']}" if m["ret"] else ""), "visibility": "pub" if "export" in m["pre"] else "priv", "calls": calls_in(inner, m["name"]), "bindings": bindings_of(parts, inner), "size": inner.count("\n") + 1, "_at": m.start()})
+            out.append({"name": m["name"], "kind": "fn", "line": line(m.start("name")), "params": [t for t, _ in parts], "param_names": [n for _, n in parts], "returns": m["ret"], "signature": signature(m["name"], [t for t, _ in parts], m["ret"]), "visibility": "pub" if "export" in m["pre"] else "priv", "calls": calls_in(inner, m["name"]), "bindings": bindings_of(parts, inner), "size": inner.count("\n") + 1, "_at": m.start()})
         for m in re.finditer(r"(?m)^(?:export\s+)type\s+(\w+)[^=\n]*=\s*([^;\n]+)", code):
             out.append({"name": m[1], "kind": "type", "line": line(m.start(1)), "signature": f"type {m[1]}={tight(m[2].strip())[:40]}", "_at": m.start()})
         for m in re.finditer(r"(?m)^export\s*\{([^}]*)\}\s*from", code):
