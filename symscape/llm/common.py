@@ -53,7 +53,7 @@ def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", "text", *more).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
 
 
-# --- words of many texts at once, as 64-bit polynomial hashes ------------------------------------
+# --- words of many texts at once, as 64-bit polynomial hashes
 
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

@@ -36,7 +36,7 @@ def test_pruning_by_hand():
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     kept = vectors.pruned(v, np.array([0]), np.array([[3, 2, 1]]), 3)
     assert kept[0].tolist() == [1, 3]  # 2 is nearer to 1 than to 0; 3 is not, by ALPHA
-    assert vectors.pruned(v, np.array([0]), np.array([[3, 2, 1]]), 3, alpha=0.5)[0].tolist() == [1, 2, 3]
+    assert vectors.pruned(v, np.array([0]), np.array([[3, 2, 1]]), 3, alpha=5)[0].tolist() == [1, 2, 3]
 
 
 def test_edges(spark):
