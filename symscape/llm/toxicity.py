@@ -20,6 +20,7 @@ repeated labels count once, null labels not at all; repeated documents are decid
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -44,7 +45,7 @@ _OTHER = re.compile(r"[\W_]+")
 _SENTENCE = re.compile(r"[.!?\n]+\s*")
 
 
-# --- the kernel --------------------------------------------------------------------------------
+# --- the kernel
 
 
 def _codes(strings: list[str]) -> np.ndarray:
@@ -142,7 +143,7 @@ def kernels(strings: list[str], landmarks: list[str], least: float = 0.0) -> np.
     return out
 
 
-# --- the model ---------------------------------------------------------------------------------
+# --- the model
 
 
 def _bit(c: str) -> int:
@@ -227,8 +228,8 @@ def strings_of(text: str) -> list[str]:
 
 def fit(texts: list[tuple[str, int]]) -> Model | None:
     """texts: (text, label), label 1 for toxic."""
-    seen: tuple[dict[str, int], dict[str, int]] = ({}, {})
-    contexts: tuple[dict[str, set], dict[str, set]] = (defaultdict(set), defaultdict(set))
+    seen: tuple[set[int], set[int]] = (set(), set())
+    contexts: dict[str, set[int]] = defaultdict(set)  # of the positive documents, as hashes of the neighbours
     count: tuple[Counter, Counter] = (Counter(), Counter())  # as a document's score counts them
     holders = Counter()
     docs = sum(1 for _, y in texts if y)
@@ -238,14 +239,15 @@ def fit(texts: list[tuple[str, int]]) -> Model | None:
     for text, y in texts:
         own, tokens = Counter(), 0
         for sentence in _SENTENCE.split(text):
-            if sentence in seen[y]:
+            key = zlib.crc32(sentence.encode()) << 32 | zlib.adler32(sentence.encode())
+            if key in seen[y]:
                 continue
-            seen[y][sentence] = 1
+            seen[y].add(key)
             words = ["", *strings_of(sentence), ""]
             tokens += len(sentence.split())
             own.update(words[1:-1])
-            for a, w, b in zip(words, words[1:], words[2:], strict=False):
-                contexts[y][w].add((a, b))
+            for a, w, b in zip(words, words[1:], words[2:], strict=False) if y else ():
+                contexts[w].add(zlib.crc32(f"{a} {b}".encode()))
         total[y] += tokens
         count[y].update({w: min(n, 1 + tokens // PER) for w, n in own.items()})
         holders.update(own.keys() if y else ())
@@ -253,7 +255,7 @@ def fit(texts: list[tuple[str, int]]) -> Model | None:
         return None
     rate = lambda w: (count[1][w] / total[1]) / ((count[0][w] + 0.5) / total[0])
     least = max(5, 0.006 * docs)
-    telling = {w: len(c) for w, c in contexts[1].items() if len(c) >= least and holders[w] >= 3 and rate(w) >= TELLING}
+    telling = {w: len(c) for w, c in contexts.items() if len(c) >= least and holders[w] >= 3 and rate(w) >= TELLING}
     # Landmarks: again and again the token to which most contexts of tokens without a near landmark are near.
     some = [w for w in sorted(telling, key=lambda w: (-telling[w], w))[:600] if len({_bit(c) for c in w}) <= 16]
     chosen: list[str] = []
@@ -324,7 +326,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = C
     return fit([(r.text, r.y) for r in sorted(rows, key=lambda r: (r.doc_id, r.y, r.text))])
 
 
-# --- documents ---------------------------------------------------------------------------------
+# --- documents
 
 
 #: What strings of the models in use weigh, for all tasks of a worker process: model key -> hash of a token -> (weight, string).
