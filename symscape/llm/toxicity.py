@@ -41,6 +41,8 @@ FLOORS = np.array([0.45, 0.6, 0.75, 0.9], np.float32)
 LEAST, PER = 1.0, 100
 #: The share of a landmark's hits that altered spellings are taken to have in toxic sentences.
 VARIANTS = 0.05
+#: A worker forgets the strings it weighed beyond so many.
+REMEMBERED = 300_000
 _OTHER = re.compile(r"[\W_]+")
 _SENTENCE = re.compile(r"[.!?\n]+\s*")
 
@@ -353,7 +355,7 @@ class Scorer:
         if not len(words.start):
             return score, term
         tokens, at, back = np.unique(words.hash, return_index=True, return_inverse=True)
-        if len(self.known) > 1_000_000:
+        if len(self.known) > REMEMBERED:
             self.known.clear()
         known, keys = self.known, tokens.tolist()
         fresh = np.array([i for i, h in enumerate(keys) if h not in known], np.int64)
@@ -404,7 +406,7 @@ def toxic_documents(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches):
         scorer = Scorer(model)
         for batch in batches:
-            for ids, texts in chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist(), 4 << 20):
+            for ids, texts in chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 score, term = scorer(texts)
                 hit = np.flatnonzero(score > 0)
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in hit], pa.int64()), pa.array(score[hit]), pa.array([term[i] for i in hit], pa.string())], ["doc_id", "score", "term"])
@@ -422,7 +424,7 @@ def without_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
         scorer = Scorer(model)
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            score = np.concatenate([scorer(part)[0] for _, part in chunks(texts, texts, 4 << 20)]) if texts else np.zeros(0)
+            score = np.concatenate([scorer(part)[0] for _, part in chunks(texts, texts)]) if texts else np.zeros(0)
             yield batch.filter(pa.array(score <= 0))
 
     return docs.mapInArrow(run, docs.schema)
