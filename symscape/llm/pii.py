@@ -135,11 +135,11 @@ COUNTED_AT_ONCE = 1_000_000
 
 def patterns(docs: DataFrame, found: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
     """(pattern, kind, score) of the patterns that are kept."""
-    links = found.select("value", "seed", F.explode(F.array(F.concat(F.lit("S:"), "shape"), F.concat(F.lit("L:"), "left"), F.concat(F.lit("R:"), "right"))).alias("pattern")).where("length(pattern) > 2").groupBy("value", "pattern").agg(F.max("seed").alias("seed"))
+    links = found.select("value", F.explode(F.array(F.concat(F.lit("S:"), "shape"), F.concat(F.lit("L:"), "left"), F.concat(F.lit("R:"), "right"))).alias("pattern")).where("length(pattern) > 2").distinct()
     seeds = found.where("seed IS NOT NULL").select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct()
-    # A word that fewer seeds than SUPPORT stand beside can't be kept in the first round, nor count for anything then.
-    useful = links.where("seed IS NOT NULL").groupBy("pattern").agg(F.countDistinct("value").alias("k")).where(F.col("k") >= support).select("pattern")
-    links = written(links.join(useful, "pattern").select("value", "pattern"), "links")
+    # Scores are 1 at most, so a pattern of fewer values than SUPPORT can't reach it in any round.
+    useful = links.groupBy("pattern").agg(F.count("*").alias("k")).where(F.col("k") >= support).select("pattern")
+    links = written(links.join(useful, "pattern"), "links")
     shapes = links.where("pattern LIKE 'S:%'").groupBy("pattern").agg(F.count("*").alias("n"))
     context = links.where("pattern NOT LIKE 'S:%'").select("pattern", F.substring("pattern", 3, 1 << 20).alias("word")).distinct()
     words = context.select("word").distinct()
@@ -177,7 +177,7 @@ def decided(found: DataFrame, kept: DataFrame) -> DataFrame:
     return out.withColumn("d", F.greatest(seed, "S", "L", "R")).where("d IS NOT NULL").withColumns({"kind": F.col("d.kind"), "score": F.col("d.score")})
 
 
-#: Kept patterns that redacted() sends to all executors; they are few, as each needs SUPPORT seeds and CONFIDENCE.
+#: Kept patterns that redacted() sends to all executors; they are few, as each needs SUPPORT and CONFIDENCE.
 MOST_PATTERNS = 2_000_000
 
 
