@@ -1,7 +1,7 @@
 """Operator 9, personal data by bootstrapped contextual extraction.
 
-Candidates are identifier-like spans of whole texts: tokens with a digit or an @, and numbers written in several groups. Seeds are
-candidates that a strict recogniser accepts (KINDS). Candidates induce lexical patterns: their shape (letters as a, digits as 9 with
+Candidates are identifier-like spans of whole texts: tokens with a digit or an @, and numbers written in several groups; where a strict
+recogniser (KINDS) finds identifiers inside such a span, those. Seeds are candidates that a recogniser accepts. Candidates induce lexical patterns: their shape (letters as a, digits as 9 with
 their number), and the words to the left and right. Spark scores the graph of patterns and instances for ROUNDS rounds: a pattern
 scores, for each kind, the sum of its instances' scores over how often it occurs (a shape in distinct instances, a word anywhere in
 the corpus) plus one; an instance scores as the noisy-or of its patterns, and seeds score 1. Patterns of at least CONFIDENCE and
@@ -53,8 +53,42 @@ def shape(s: str) -> str:
     return re.sub(r"[0-9]+", lambda m: f"9{len(m[0])}", s)
 
 
+#: What is looked for wherever it stands; each match must still satisfy its kind. Letters of scripts without blanks are no part of an e-mail.
+_LOCAL = r"0-9A-Za-z_\u00c0-\u1fff"
+_INSIDE = {
+    "email": re.compile(rf"(?<![{_LOCAL}])[{_LOCAL}](?:[{_LOCAL}.%+-]{{0,62}}[{_LOCAL}%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{{0,62}})\.)+[A-Za-z]{{2,24}}(?![A-Za-z0-9@]|[-_][A-Za-z0-9])"),
+    "ip": re.compile(r"(?<![0-9A-Za-z])(?<![0-9A-Za-z]\.)(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])"),
+    "phone": re.compile(r"(?<![0-9A-Za-z+])(?:\+\(?[0-9](?:[() .\-/]{0,3}[0-9]){7,14}|\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4})(?![0-9A-Za-z])"),
+    "card": re.compile(r"(?<![0-9A-Za-z+])(?<![0-9][.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|[.-][0-9])"),
+}
+
+
 def spans(text: str) -> list[tuple[int, int]]:
-    """Start and end of each candidate."""
+    """Start and end of each candidate: an identifier wherever it stands, else the whole token or group of numbers, or what identifiers leave of it."""
+    whole = _whole(text)
+    seeds = [(a, b) for a, b in whole if any(f(text[a:b]) for f in KINDS.values())]
+    if len(seeds) == len(whole):
+        return whole
+    taken = set().union(*(range(a, b) for a, b in seeds))
+    for kind, pattern in _INSIDE.items():
+        if kind == "email" and "@" not in text:
+            continue
+        for m in pattern.finditer(text):
+            if KINDS[kind](m[0]) and taken.isdisjoint(range(*m.span())):
+                seeds.append(m.span())
+                taken.update(range(*m.span()))
+    out = set(seeds)
+    for a, b in whole:
+        if taken.isdisjoint(range(a, b)):
+            out.add((a, b))
+            continue
+        cut = "".join("\n" if a + i in taken else c for i, c in enumerate(text[a:b]))
+        out.update((a + x, a + y) for x, y in _whole(cut))
+    return sorted(out)
+
+
+def _whole(text: str) -> list[tuple[int, int]]:
+    """Start and end of each token with a digit or an @, numbers in several groups as one."""
     out: list[tuple[int, int]] = []
     for m in _TOKEN.finditer(text):
         a, b = m.span()

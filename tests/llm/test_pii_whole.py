@@ -16,3 +16,10 @@ def test_discovered_instances_support_further_patterns(spark):
     got = found(spark, texts)
     assert {("030/9907", "phone"), ("030/9927", "phone")} <= got  # beside a word of many seeds
     assert ("5-12-77-3", "phone") in got  # beside a word of 4 seeds and of 3 instances found in the first round
+
+
+def test_identifiers_glued_to_other_signs(spark):
+    texts = ["(a@b.com)", "**c@b.com**", "email:d@b.com", "x,e@b.com,f@b.com", "10.0.0.1:8080", "ip=10.0.0.2", "208.240.42.236***", "4247042900896785$$$", "+1 (136) 555-7479%%%", "(+49 30 1234567)", "電話g@b.comです"]
+    want = {(f"{x}@b.com", "email") for x in "acdefg"} | {(x, "ip") for x in ("10.0.0.1", "10.0.0.2", "208.240.42.236")} | {("4247042900896785", "card"), ("+1 (136) 555-7479", "phone"), ("+49 30 1234567", "phone")}
+    assert found(spark, texts) >= want
+    assert pii.spans("x1.2.3.4 and 1.2.3.4.5") == [(0, 8), (13, 22)]  # longer numbers hold no address
