@@ -3,8 +3,8 @@
 Candidates are identifier-like spans of whole texts: tokens with a digit or an @, and numbers written in several groups; where a strict
 recogniser (KINDS) finds identifiers inside such a span, those. Seeds are candidates that a recogniser accepts. Candidates induce lexical patterns: their shape (letters as a, digits as 9 with
 their number), and the words to the left and right. Spark scores the graph of patterns and instances for ROUNDS rounds: a pattern
-scores, for each kind, the sum of its instances' scores over how often it occurs (a shape in distinct instances, a word anywhere in
-the corpus) plus one; an instance scores as the noisy-or of its patterns, and seeds score 1. Patterns of at least CONFIDENCE and
+scores, for each kind, the sum of its instances' scores over the distinct instances it stands with plus one (for a word also the
+distinct other tokens that it stands beside, so that copies of a document count once); an instance scores as the noisy-or of its patterns, and seeds score 1. Patterns of at least CONFIDENCE and
 SUPPORT are kept, and every candidate that one of them matches is personal data, seed or not.
 
 Defined results: null or empty texts have no candidates; repeated rows and values repeat in the result; a span of several kinds gets
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symscape.llm.common import TOKEN, Words, chunks, texts_of, written
+from symscape.llm.common import TOKEN, Words, chunks, mix, texts_of, written
 
 ROUNDS, CONFIDENCE, SUPPORT = 3, 0.75, 5
 
@@ -145,25 +145,59 @@ def candidates(docs: DataFrame) -> DataFrame:
     return texts_of(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def word_counts(docs: DataFrame, wanted: list[str]) -> DataFrame:
-    """(word, n): how often each wanted token, in lower case, occurs in the whole corpus."""
-    keys = Words(wanted, TOKEN)
-    order = np.argsort(keys.hash)
-    sorted_keys, names = keys.hash[order], np.array(wanted, object)[order]
+def word_keys(words: DataFrame, column: str) -> DataFrame:
+    """words with key, the hash by which contexts() names each one."""
+    schema = f"{column} string, key long"
 
     def run(batches):
-        n = np.zeros(len(names), np.int64)
         for batch in batches:
-            for _, texts in chunks(batch.column(0).to_pylist(), batch.column(0).to_pylist()):
-                h = Words(texts, TOKEN).hash
-                at = np.minimum(np.searchsorted(sorted_keys, h), len(names) - 1)
-                n += np.bincount(at[sorted_keys[at] == h], minlength=len(names))
-        yield pa.RecordBatch.from_arrays([pa.array(list(names), pa.string()), pa.array(n)], ["word", "n"])
+            names = batch.column(0).to_pylist()
+            found = Words(names, TOKEN)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found.hash[found.first[:-1]].view(np.int64))], [column, "key"])
 
-    return docs.where(F.col("text").isNotNull()).select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return words.select(column).mapInArrow(run, schema)
 
 
-#: Context words whose corpus counts are taken in one pass; more than that are counted by a join.
+def contexts(docs: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
+    """(key, side, plain): for each token, in lower case, its distinct neighbours to the right (side L: it stands to their left) and to the left (side R) that are no candidates; copies of a text add nothing. wanted: sorted keys, or None for all tokens."""
+
+    def run(batches):
+        held, n = [], 0
+
+        def out():
+            key, other, side = (np.concatenate(x) for x in zip(*held, strict=True))
+            _, one = np.unique(mix(mix(key) + other) + side, return_index=True)
+            return pa.RecordBatch.from_arrays([pa.array(key[one].view(np.int64)), pa.array(np.where(side[one] == 0, "L", "R").tolist(), pa.string()), pa.array(other[one].view(np.int64))], ["key", "side", "other"])
+
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for _, part in chunks(texts, texts):
+                words = Words(part, TOKEN)
+                if not len(words.start):
+                    continue
+                digits = np.concatenate([[0], np.cumsum(_HAS[words.buf])])
+                plain = digits[words.end] == digits[words.start]
+                want = np.ones(len(plain), bool) if wanted is None else np.zeros(len(plain), bool) if not len(wanted) else wanted[np.minimum(np.searchsorted(wanted, words.hash), len(wanted) - 1)] == words.hash
+                edge = np.zeros(len(plain), bool)
+                edge[words.first[words.first < len(plain)]] = True
+                for side, step in ((0, -1), (1, 1)):
+                    # At the edge of a text the neighbour is nothing, which is one neighbour too.
+                    none = np.roll(edge, -1) if side == 0 else edge
+                    other = np.where(none, np.uint64(0), np.roll(words.hash, step))
+                    at = np.flatnonzero(want & (none | np.roll(plain, step)))
+                    held.append((words.hash[at], other[at], np.full(len(at), side, np.uint64)))
+                    n += len(at)
+                if n > 1_000_000:
+                    yield out()
+                    held, n = [], 0
+        if held:
+            yield out()
+
+    pairs = docs.where(F.col("text").isNotNull()).select("text").mapInArrow(run, "key long, side string, other long")
+    return pairs.distinct().groupBy("key", "side").agg(F.count("*").alias("plain"))
+
+
+#: Context words whose neighbours alone are taken from the corpus; with more than that all are, and joined.
 COUNTED_AT_ONCE = 1_000_000
 
 
@@ -174,16 +208,12 @@ def patterns(docs: DataFrame, found: DataFrame, rounds: int = ROUNDS, confidence
     # Scores are 1 at most, so a pattern of fewer values than SUPPORT can't reach it in any round.
     useful = links.groupBy("pattern").agg(F.count("*").alias("k")).where(F.col("k") >= support).select("pattern")
     links = written(links.join(useful, "pattern"), "links")
-    shapes = links.where("pattern LIKE 'S:%'").groupBy("pattern").agg(F.count("*").alias("n"))
-    context = links.where("pattern NOT LIKE 'S:%'").select("pattern", F.substring("pattern", 3, 1 << 20).alias("word")).distinct()
-    words = context.select("word").distinct()
-    if words.count() <= COUNTED_AT_ONCE:
-        wanted = sorted(r.word for r in words.collect())
-        counts = word_counts(docs, wanted) if wanted else words.select("word", F.lit(0).cast("long").alias("n"))
-    else:
-        every = docs.where(F.col("text").isNotNull()).select(F.explode(F.split(F.lower("text"), r"[ \t\n\r\x0B\f]+")).alias("word"))
-        counts = every.groupBy("word").agg(F.count("*").alias("n")).join(words, "word", "left_semi")
-    total = written(shapes.union(context.join(counts, "word").select("pattern", "n")), "totals")
+    held = links.groupBy("pattern").agg(F.count("*").alias("k"))
+    words = held.where("pattern NOT LIKE 'S:%'").select(F.substring("pattern", 3, 1 << 20).alias("word")).distinct()
+    keys = written(word_keys(words, "word"), "keys")
+    wanted = np.sort(np.array([r.key for r in keys.select("key").distinct().collect()], np.int64).view(np.uint64)) if keys.count() <= COUNTED_AT_ONCE else None
+    plain = contexts(docs, wanted).join(keys, "key").select(F.concat_ws(":", "side", "word").alias("pattern"), "plain")
+    total = written(held.join(plain, "pattern", "left").select("pattern", (F.col("k") + F.coalesce("plain", F.lit(0))).alias("n")), "totals")
     scores = seeds
     for _ in range(rounds):
         held = links.join(scores, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"))

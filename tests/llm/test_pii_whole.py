@@ -23,3 +23,11 @@ def test_identifiers_glued_to_other_signs(spark):
     want = {(f"{x}@b.com", "email") for x in "acdefg"} | {(x, "ip") for x in ("10.0.0.1", "10.0.0.2", "208.240.42.236")} | {("4247042900896785", "card"), ("+1 (136) 555-7479", "phone"), ("+49 30 1234567", "phone")}
     assert found(spark, texts) >= want
     assert pii.spans("x1.2.3.4 and 1.2.3.4.5") == [(0, 8), (13, 22)]  # longer numbers hold no address
+
+
+def test_copies_of_a_document_change_no_pattern(spark):
+    texts = [f"call +49 30 12345{k:02d} now{k}" for k in range(30)] + ["call 030/9917 here"]
+    copies = ["please call us at once"] * 200 + [texts[0]] * 200
+    assert ("030/9917", "phone") in found(spark, texts + copies)
+    rare = ["the +49 30 1234567"] * 300 + [f"the word{'xyzuv'[k % 5] * (k // 5 + 1)} stands" for k in range(60)] + [f"the +49 30 765432{k}" for k in range(4)] + ["the 12/9 end"]
+    assert ("12/9", "phone") not in found(spark, rare)
