@@ -26,13 +26,20 @@ def long_enough(a: Column, b: Column, least: float) -> Column:
     return 2 * F.least(F.length(a), F.length(b)) >= least * (F.length(a) + F.length(b))
 
 
-def similar_names(new: DataFrame, old: DataFrame, on: list[str], least: float = 0.7, shortest: int = 5) -> DataFrame:
+def similar_names(new: DataFrame, old: DataFrame, on: list[str], least: float = 0.7, shortest: int = 5, row: str | None = None) -> DataFrame:
     """(on, name, best, ratio): for each name of new the most similar of old (the first by name of equals) with at least that ratio; equal names too.
 
+    row: the key of both tables where they share rows; a row is then no match of itself, while an equal name of another row is.
+
     Lengths prune the candidates in generated code before any pair reaches Python."""
-    a = new.select(*on, "name").where(F.length("name") >= shortest).distinct()
-    b = old.select(*on, F.col("name").alias("best")).where(F.length("best") >= shortest).distinct()
-    pairs = a.join(b, on).where(long_enough(F.col("name"), F.col("best"), least))
+    a = new.where(F.length("name") >= shortest)
+    b = old.where(F.length("name") >= shortest).withColumnRenamed("name", "best")
+    if row is None:
+        pairs = a.select(*on, "name").distinct().join(b.select(*on, "best").distinct(), on)
+    else:
+        a, b = (x.groupBy(*on, n).agg(F.min(row).alias(f"__{n}_lo"), F.max(row).alias(f"__{n}_hi")) for x, n in ((a, "name"), (b, "best")))
+        pairs = a.join(b, on).where("name <> best OR least(__name_lo, __best_lo) < greatest(__name_hi, __best_hi)")
+    pairs = pairs.where(long_enough(F.col("name"), F.col("best"), least))
     rated = pairs.withColumn("ratio", similarity("name", "best")).where(F.col("ratio") >= least)
     return rated.groupBy(*on, "name").agg(F.min_by(F.struct("best", "ratio"), F.struct(-F.col("ratio"), "best")).alias("p")).select(*on, "name", "p.best", F.round("p.ratio", 6).alias("ratio"))
 

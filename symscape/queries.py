@@ -151,7 +151,7 @@ def deny_scan(spark, d):
 @query()
 def name_similarity(spark, d):
     part = table(spark, d, "part").select(F.col("p_type").alias("type"), F.col("p_name").alias("name"), "p_partkey")
-    return names.similar_names(part.where("p_partkey % 2 = 0"), part.where("p_partkey % 2 = 1"), ["type"])
+    return names.similar_names(part, part, ["type"], row="p_partkey")
 
 
 # --- aggregations
