@@ -1,6 +1,6 @@
 """Operator 8, secret scan with corpus-wide ownership frequency.
 
-Candidates are matches of PATTERNS in whole texts. Each value (its md5, the value itself is never returned) is counted over the
+Candidates are matches of PATTERNS and WIDER in whole texts; sql() has PATTERNS alone and so finds fewer where a table holds such names. Each value (its md5, the value itself is never returned) is counted over the
 corpus: documents, repositories (owner and lang together) and owners (the column source). Values of few different characters
 are "placeholder"; values of at least EXAMPLE_OWNERS owners are widely copied, "example"; the rest belong to few owners, "live".
 
@@ -28,10 +28,16 @@ PATTERNS = {
     "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[ \t\r\n]*([A-Za-z0-9+/=]{16,})",
 }
 
+#: What sql() doesn't look for: keywords inside longer names, and passwords of 8 characters or more. Only the operator has them.
+WIDER = [
+    ("assigned", r"""(?i)(?:token|secret|password|passwd|api_?key|access_?key|auth_?key)[A-Za-z0-9_]*+["']?[ \t]*[:=][ \t]*["']?([A-Za-z0-9_/+.=-]{16,})"""),
+    ("assigned", r"""(?i)(?:password|passwd|passphrase)[A-Za-z0-9_]*+["']?[ \t]*[:=][ \t]*["']?([A-Za-z0-9_/+.=-]{8,})"""),
+]
+
 
 def candidates(docs: DataFrame) -> DataFrame:
     labelled = lambda kind: lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
-    found = F.flatten(F.array(*[F.transform(F.regexp_extract_all("text", F.lit(p), 1), labelled(k)) for k, p in PATTERNS.items()]))
+    found = F.flatten(F.array(*[F.transform(F.regexp_extract_all("text", F.lit(p), 1), labelled(k)) for k, p in [*PATTERNS.items(), *WIDER]]))
     owner = F.coalesce(F.col("source").cast("string"), F.lit(""))
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", owner.alias("owner"), F.concat_ws("/", owner, F.coalesce(F.col("lang").cast("string"), F.lit(""))).alias("repository"), F.explode(F.array_distinct(found)).alias("c"))
     value = F.col("c.value")
