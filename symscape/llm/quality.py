@@ -1,14 +1,17 @@
 """Operator 7, quality rules from cross-document line frequency.
 
 Lines are compared in lower case with runs of blanks as one space. For each host (the column source) and line, distinct documents
-are counted; a document counts by the pair of its least and greatest line hash, so that copies and near copies of one document,
-which share nearly all lines, are one, while a line in unlike documents counts for each. A line in more than
-max(MIN_DOCS, MIN_SHARE * documents of the host) is removed from all documents of that host. A document is rejected if nothing
-but blanks is left, or less than MIN_LEFT of its characters (without blank lines).
+are counted; a document is what its lines say: rows whose normalised lines are all the same, in order, are copies of one document and
+count once, and any two others count as two, however many lines they share. A line in more than max(MIN_DOCS, MIN_SHARE * documents
+of the host) is removed from all documents of that host. A document is rejected if nothing but blanks is left, or less than MIN_LEFT
+of its characters (without blank lines).
+
+A host's frequent lines are at most 1 / MIN_SHARE times the lines that its documents have on average, as each stands in more than that
+share of them; that bounds the array with which a row is compared.
 
 Defined results: null text counts as empty and is rejected; a null host is a host of its own; repeated rows are decided one by one
-and alike; ties at a limit stay; an empty table gives an empty result. All columns of the input come back, only text and n_chars
-(where present) change. Columns of other names, whatever they are, pass through.
+and alike; ties at a limit stay; texts of any length are read whole; an empty table gives an empty result. All columns of the input
+come back, only text and n_chars (where present) change. Columns of other names, whatever they are, pass through.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 from symscape.llm.common import free, quoted, written
 
 MIN_DOCS, MIN_SHARE, MIN_LEFT = 10, 0.002, 0.2
-#: Largest number of frequent lines that is sent to all executors; beyond it they are joined by host and line.
+#: Largest number of frequent lines that is sent to all executors (8 bytes each); beyond it they are joined by host and line, with the same result.
 BROADCAST_LINES = 500_000
 
 
@@ -55,7 +58,7 @@ def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float =
     """(host, line): the hashes of the lines above their host's limit."""
     host = F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host")
     hashed = docs.select(host, F.transform(F.filter(_normal(_text()), lambda x: x != ""), _hash).alias("h")).where(F.size("h") > 0)
-    lines = hashed.select("host", F.xxhash64(F.array_min("h"), F.array_max("h")).alias("doc"), F.explode(F.array_distinct("h")).alias("line"))
+    lines = hashed.select("host", F.xxhash64("h").alias("doc"), F.explode(F.array_distinct("h")).alias("line"))
     found = lines.distinct().groupBy("host", "line").count().where(F.col("count") > min_docs)
     hosts = docs.groupBy(host).agg(F.count("*").alias("docs"))
     return found.join(hosts, "host").where(F.col("count") > F.greatest(F.lit(float(min_docs)), F.col("docs") * min_share)).select("host", "line")
@@ -91,16 +94,16 @@ def filtered(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_S
 
 
 def sql(table: str = "documents") -> str:
-    """The same in DuckDB's SQL, with whole lines in place of their hashes except for the order that md5 gives."""
+    """The same in DuckDB's SQL."""
     return f"""
 WITH d AS (SELECT *, row_number() OVER () AS rid FROM {table}),
 l0 AS (SELECT rid, coalesce(source, '') AS host, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM d),
 l AS (SELECT *, lower(trim(regexp_replace(line, '[ \\t\\r]+', ' ', 'g'))) AS norm FROM l0),
 h AS (SELECT *, substr(md5(norm), 1, 16) AS hx FROM l),
-k AS (SELECT rid, min(hx) AS lo, max(hx) AS hi FROM h WHERE norm <> '' GROUP BY rid),
+k AS (SELECT rid, md5(string_agg(hx, ' ' ORDER BY pos)) AS document FROM h WHERE norm <> '' GROUP BY rid),
 n AS (SELECT coalesce(source, '') AS host, count(*) AS docs FROM {table} GROUP BY 1),
-f AS (SELECT h.host, h.hx FROM h JOIN k USING (rid) WHERE norm <> '' GROUP BY 1, 2 HAVING count(DISTINCT lo || hi) > {MIN_DOCS}
-  AND count(DISTINCT lo || hi) > (SELECT docs * {MIN_SHARE} FROM n WHERE n.host = h.host)),
+f AS (SELECT h.host, h.hx FROM h JOIN k USING (rid) WHERE norm <> '' GROUP BY 1, 2 HAVING count(DISTINCT document) > {MIN_DOCS}
+  AND count(DISTINCT document) > (SELECT docs * {MIN_SHARE} FROM n WHERE n.host = h.host)),
 m AS (SELECT h.rid, h.pos, h.line, h.norm, f.hx IS NULL OR h.norm = '' AS keep FROM h LEFT JOIN f ON f.host = h.host AND f.hx = h.hx),
 g AS (SELECT rid, string_agg(line, chr(10) ORDER BY pos) FILTER (keep) AS text, coalesce(sum(length(line)) FILTER (keep AND norm <> ''), 0) AS kept, coalesce(sum(length(line)) FILTER (norm <> ''), 0) AS was FROM m GROUP BY rid)
 SELECT d.doc_id, g.text, d.lang, d.source, CAST(length(g.text) AS BIGINT) AS n_chars FROM d JOIN g USING (rid) WHERE kept > 0 AND kept >= was * {MIN_LEFT}"""
