@@ -1,15 +1,22 @@
 """Operator 9, personal data by bootstrapped contextual extraction.
 
 Candidates are identifier-like spans of whole texts: tokens with a digit or an @, and numbers written in several groups; where a strict
-recogniser (KINDS) finds identifiers inside such a span, those. Seeds are candidates that a recogniser accepts. Candidates induce lexical patterns: their shape (letters as a, digits as 9 with
-their number), and the words to the left and right. Spark scores the graph of patterns and instances for ROUNDS rounds: a pattern
-scores, for each kind, the sum of its instances' scores over the distinct instances it stands with plus one (for a word also the
-distinct other tokens that it stands beside, so that copies of a document count once); an instance scores as the noisy-or of its patterns, and seeds score 1. Patterns of at least CONFIDENCE and
-SUPPORT are kept, and every candidate that one of them matches is personal data, seed or not.
+recogniser (KINDS) finds identifiers inside such a span, those. Seeds are candidates that a recogniser accepts. Candidates induce lexical
+patterns: their shape (letters as a, digits as 9 with their number), and the words to the left and right. Spark scores the graph of
+patterns and instances for ROUNDS rounds. A pattern scores, for each kind, the sum of its instances' scores over one more than the
+distinct contexts it has in the corpus: its distinct instances, and for a word also the distinct other tokens that it stands beside, so
+that copies of a document count once. Only patterns whose instances sum to at least SUPPORT tell anything. An instance scores as the noisy-or
+of its patterns of at least DOUBT, and seeds score 1. Every pattern takes part in every round: one that has few seeds can rise later,
+through instances discovered before. After the last round the patterns of at least CONFIDENCE are kept, and every candidate that one of
+them matches is personal data, seed or not.
+
+The other tokens beside a word are counted in two passes. The first finds how many distinct ones a part of the corpus has at least; a
+word that has too many there to reach DOUBT even if all its instances scored 1 can't in any round, and isn't counted further.
 
 Defined results: null or empty texts have no candidates; repeated rows and values repeat in the result; a span of several kinds gets
-the one with the highest score, then the first by name; an empty table gives an empty result. Only doc_id and text are read by
-findings(); redacted() keeps all columns, whatever their names, and changes text and n_chars (where present) alone.
+the one with the highest score, then the first by name; words and texts of any length are taken whole; an empty table gives an empty
+result. Only doc_id and text are read by findings(); redacted() keeps all columns, whatever their names, and changes text and n_chars
+(where present) alone.
 """
 
 from __future__ import annotations
@@ -21,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symscape.llm.common import TOKEN, Words, chunks, mix, texts_of, written
+from symscape.llm.common import TOKEN, Words, chunks, free, mix, quoted, texts_of, written
 
-ROUNDS, CONFIDENCE, SUPPORT = 3, 0.75, 5
+ROUNDS, CONFIDENCE, SUPPORT, DOUBT = 3, 0.75, 5, 0.2
 
 _EMAIL = re.compile(r"[^\s@<>(),;:\"]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\.)+[A-Za-z]{2,24}")
 _IP = re.compile(r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)")
@@ -42,6 +49,11 @@ def _phone(s: str) -> bool:
     return (s[0] == "+" and 8 <= digits <= 15 and bool(re.fullmatch(r"\+[0-9(][0-9() .\-/]*", s))) or bool(re.fullmatch(r"\(\d{3}\) ?\d{3}[-. ]\d{4}", s))
 
 
+def _rank(hit: tuple[float, str]) -> tuple[float, list[int]]:
+    """The highest score is greatest, of equals the first kind by name."""
+    return hit[0], [-ord(c) for c in hit[1]]
+
+
 KINDS = {"card": _card, "email": lambda s: bool(_EMAIL.fullmatch(s)), "ip": lambda s: bool(_IP.fullmatch(s)), "phone": _phone}
 
 
@@ -49,7 +61,7 @@ def shape(s: str) -> str:
     """Letters as a, digits as 9 and their number; in tokens with an @ without it."""
     s = re.sub(r"[^\W\d_]+", "a", s)
     if "@" in s:
-        return re.sub(r"[\d_]*a[a\d_.%+-]*|[\d_.]+", "a", s.partition("@")[0])[:8] + "@" + re.sub(r"[a\d-]+", "a", s.partition("@")[2])
+        return re.sub(r"[\d_]*a[a\d_.%+-]*|[\d_.]+", "a", s.partition("@")[0]) + "@" + re.sub(r"[a\d-]+", "a", s.partition("@")[2])
     return re.sub(r"[0-9]+", lambda m: f"9{len(m[0])}", s)
 
 
@@ -100,7 +112,7 @@ def _whole(text: str) -> list[tuple[int, int]]:
             continue
         if out and a - out[-1][1] == 1 and text[a - 1] == " " and text[a] != "+" and _GROUP.fullmatch(text[a:b]):
             whole = text[out[-1][0] : b]
-            if "@" not in whole and _GROUP.match(text[out[-1][0] : out[-1][1]]) and re.fullmatch(r"[+(]?[0-9][0-9().\-/ ]*", whole) and sum(c.isdigit() for c in whole) <= (16 if whole[0] != "+" else 15) and max(map(len, whole.split(" "))) < 13:
+            if "@" not in whole and _GROUP.match(text[out[-1][0] : out[-1][1]]) and re.fullmatch(r"[+(]?[0-9][0-9().\-/ ]*", whole) and sum(c.isdigit() for c in whole) <= (19 if whole[0] != "+" else 15) and max(map(len, whole.split(" "))) < 13:
                 out[-1] = (out[-1][0], b)
                 continue
         out.append((a, b))
@@ -108,8 +120,21 @@ def _whole(text: str) -> list[tuple[int, int]]:
 
 
 def _neighbour(text: str, a: int, b: int) -> tuple[str, str]:
-    left = text[max(0, a - 80) : a].split()
-    right = text[b : b + 80].split()
+    """The words before a and after b in lower case, whole however long they are."""
+    left, right, width = [], [], 64
+    while not left or (len(left) < 2 and not text[lo].isspace() and lo):
+        lo = max(0, a - width)
+        left = text[lo:a].split()
+        if not lo:
+            break
+        width *= 4
+    width = 64
+    while not right or (len(right) < 2 and not text[hi - 1].isspace() and hi < len(text)):
+        hi = min(len(text), b + width)
+        right = text[b:hi].split()
+        if hi == len(text):
+            break
+        width *= 4
     return (left[-1].lower() if left else "", right[0].lower() if right else "")
 
 
@@ -158,69 +183,110 @@ def word_keys(words: DataFrame, column: str) -> DataFrame:
     return words.select(column).mapInArrow(run, schema)
 
 
-def contexts(docs: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
-    """(key, side, plain): for each token, in lower case, its distinct neighbours to the right (side L: it stands to their left) and to the left (side R) that are no candidates; copies of a text add nothing. wanted: sorted keys, or None for all tokens."""
+#: Context words whose neighbours alone are taken from the corpus (8 bytes each go to all tasks); with more than that all are, and joined, with the same result.
+COUNTED_AT_ONCE = 1_000_000
+#: Pairs of a word and its neighbour that a task makes distinct before it hands them on.
+PAIRS = 1_000_000
+
+
+def _pairs(batches, wanted: np.ndarray | None):
+    """(key, side, other) arrays of distinct rows, again and again: for each wanted token, in lower case, its neighbours to the right (side 0: it stands to their left) and to the left (side 1) that are no candidates; a text's edge is a neighbour too. wanted: sorted keys, or None for all tokens."""
+    held, n = [], 0
+
+    def out():
+        key, other, side = (np.concatenate(x) for x in zip(*held, strict=True))
+        _, one = np.unique(mix(mix(key) + other) + side, return_index=True)
+        return key[one], side[one], other[one]
+
+    for batch in batches:
+        texts = batch.column(0).to_pylist()
+        for _, part in chunks(texts, texts):
+            words = Words(part, TOKEN)
+            if not len(words.start):
+                continue
+            digits = np.concatenate([[0], np.cumsum(_HAS[words.buf])])
+            plain = digits[words.end] == digits[words.start]
+            want = np.ones(len(plain), bool) if wanted is None else np.zeros(len(plain), bool) if not len(wanted) else wanted[np.minimum(np.searchsorted(wanted, words.hash), len(wanted) - 1)] == words.hash
+            edge = np.zeros(len(plain), bool)
+            edge[words.first[words.first < len(plain)]] = True
+            for side, step in ((0, -1), (1, 1)):
+                none = np.roll(edge, -1) if side == 0 else edge
+                other = np.where(none, np.uint64(0), np.roll(words.hash, step))
+                at = np.flatnonzero(want & (none | np.roll(plain, step)))
+                held.append((words.hash[at], other[at], np.full(len(at), side, np.uint64)))
+                n += len(at)
+            if n > PAIRS:
+                yield out()
+                held, n = [], 0
+    if held:
+        yield out()
+
+
+def _sides(side: np.ndarray) -> pa.Array:
+    return pa.DictionaryArray.from_arrays(pa.array(side.astype(np.int8)), pa.array(["L", "R"])).cast(pa.string())
+
+
+def least_contexts(docs: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
+    """(key, side, least): of how many distinct plain neighbours a part of the corpus has the most; all of it has no fewer."""
 
     def run(batches):
-        held, n = [], 0
+        for key, side, _ in _pairs(batches, wanted):
+            order = np.lexsort((side, key))
+            key, side = key[order], side[order]
+            at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (side[1:] != side[:-1])])) if len(key) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), _sides(side[at]), pa.array(np.diff(np.append(at, len(key))))], ["key", "side", "n"])
 
-        def out():
-            key, other, side = (np.concatenate(x) for x in zip(*held, strict=True))
-            _, one = np.unique(mix(mix(key) + other) + side, return_index=True)
-            return pa.RecordBatch.from_arrays([pa.array(key[one].view(np.int64)), pa.array(np.where(side[one] == 0, "L", "R").tolist(), pa.string()), pa.array(other[one].view(np.int64))], ["key", "side", "other"])
+    return docs.where(F.col("text").isNotNull()).select("text").mapInArrow(run, "key long, side string, n long").groupBy("key", "side").agg(F.max("n").alias("least"))
 
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for _, part in chunks(texts, texts):
-                words = Words(part, TOKEN)
-                if not len(words.start):
-                    continue
-                digits = np.concatenate([[0], np.cumsum(_HAS[words.buf])])
-                plain = digits[words.end] == digits[words.start]
-                want = np.ones(len(plain), bool) if wanted is None else np.zeros(len(plain), bool) if not len(wanted) else wanted[np.minimum(np.searchsorted(wanted, words.hash), len(wanted) - 1)] == words.hash
-                edge = np.zeros(len(plain), bool)
-                edge[words.first[words.first < len(plain)]] = True
-                for side, step in ((0, -1), (1, 1)):
-                    # At the edge of a text the neighbour is nothing, which is one neighbour too.
-                    none = np.roll(edge, -1) if side == 0 else edge
-                    other = np.where(none, np.uint64(0), np.roll(words.hash, step))
-                    at = np.flatnonzero(want & (none | np.roll(plain, step)))
-                    held.append((words.hash[at], other[at], np.full(len(at), side, np.uint64)))
-                    n += len(at)
-                if n > 1_000_000:
-                    yield out()
-                    held, n = [], 0
-        if held:
-            yield out()
+
+def contexts(docs: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
+    """(key, side, plain): the number of distinct plain neighbours; copies of a text add nothing."""
+
+    def run(batches):
+        for key, side, other in _pairs(batches, wanted):
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), _sides(side), pa.array(other.view(np.int64))], ["key", "side", "other"])
 
     pairs = docs.where(F.col("text").isNotNull()).select("text").mapInArrow(run, "key long, side string, other long")
     return pairs.distinct().groupBy("key", "side").agg(F.count("*").alias("plain"))
 
 
-#: Context words whose neighbours alone are taken from the corpus; with more than that all are, and joined.
-COUNTED_AT_ONCE = 1_000_000
+def _wanted(keys: DataFrame) -> np.ndarray | None:
+    if keys.count() > COUNTED_AT_ONCE:
+        return None
+    return np.sort(np.array([r.key for r in keys.select("key").distinct().collect()], np.int64).view(np.uint64))
 
 
-def patterns(docs: DataFrame, found: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
+def totals(docs: DataFrame, links: DataFrame, doubt: float = DOUBT) -> DataFrame:
+    """(pattern, n): the distinct contexts of each pattern that may score as much as doubt."""
+    held = links.groupBy("pattern").agg(F.count("*").alias("k"))
+    words = held.where("pattern NOT LIKE 'S:%'").select(F.substring("pattern", 3, 1 << 30).alias("word")).distinct()
+    keys = written(word_keys(words, "word"), "keys")
+    named = F.concat_ws(":", "side", "word").alias("pattern")
+    least = least_contexts(docs, _wanted(keys)).join(keys, "key").select(named, "key", "least")
+    may = held.join(least, "pattern", "left").where(F.col("k") >= doubt * (F.col("k") + F.coalesce("least", F.lit(0)) + 1))
+    may = written(may.select("pattern", "k", "key"), "may")
+    word = F.substring("pattern", 3, 1 << 30).alias("word")
+    left = written(may.where("key IS NOT NULL").select("key", word).distinct(), "left", keys)
+    plain = contexts(docs, _wanted(left)).join(left, "key").select(named, "plain")
+    return written(may.join(plain, "pattern", "left").select("pattern", (F.col("k") + F.coalesce("plain", F.lit(0))).alias("n")), "totals")
+
+
+def patterns(docs: DataFrame, found: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT, doubt: float = DOUBT) -> DataFrame:
     """(pattern, kind, score) of the patterns that are kept."""
+    doubt = min(doubt, confidence)
     links = found.select("value", F.explode(F.array(F.concat(F.lit("S:"), "shape"), F.concat(F.lit("L:"), "left"), F.concat(F.lit("R:"), "right"))).alias("pattern")).where("length(pattern) > 2").distinct()
     seeds = found.where("seed IS NOT NULL").select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct()
     # Scores are 1 at most, so a pattern of fewer values than SUPPORT can't reach it in any round.
     useful = links.groupBy("pattern").agg(F.count("*").alias("k")).where(F.col("k") >= support).select("pattern")
     links = written(links.join(useful, "pattern"), "links")
-    held = links.groupBy("pattern").agg(F.count("*").alias("k"))
-    words = held.where("pattern NOT LIKE 'S:%'").select(F.substring("pattern", 3, 1 << 20).alias("word")).distinct()
-    keys = written(word_keys(words, "word"), "keys")
-    wanted = np.sort(np.array([r.key for r in keys.select("key").distinct().collect()], np.int64).view(np.uint64)) if keys.count() <= COUNTED_AT_ONCE else None
-    plain = contexts(docs, wanted).join(keys, "key").select(F.concat_ws(":", "side", "word").alias("pattern"), "plain")
-    total = written(held.join(plain, "pattern", "left").select("pattern", (F.col("k") + F.coalesce("plain", F.lit(0))).alias("n")), "totals")
-    scores = seeds
+    links = written(links.join(totals(docs, links, doubt), "pattern"), "links", links)
+    scores, held = seeds, None
     for _ in range(rounds):
-        held = links.join(scores, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"))
-        kept = held.join(total, "pattern").select("pattern", "kind", "mass", (F.col("mass") / (F.col("n") + 1)).alias("score"))
-        reached = links.join(kept.where(F.col("mass") >= support), "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("score"), F.lit(0.999)))))).alias("score"))
-        scores = written(reached.union(seeds).groupBy("value", "kind").agg(F.max("score").alias("score")), "scores")
-    return kept.where((F.col("score") >= confidence) & (F.col("mass") >= support)).select("pattern", "kind", "score")
+        mass = links.join(scores, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.first("n").alias("n"))
+        held = written(mass.where(F.col("mass") >= support).select("pattern", "kind", (F.col("mass") / (F.col("n") + 1)).alias("score")).where(F.col("score") >= doubt), "held")
+        reached = links.join(held, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("score"), F.lit(0.999)))))).alias("score"))
+        scores = reached.union(seeds).groupBy("value", "kind").agg(F.max("score").alias("score"))
+    return held.where(F.col("score") >= confidence)
 
 
 def findings(docs: DataFrame, **settings) -> DataFrame:
@@ -232,38 +298,47 @@ def findings(docs: DataFrame, **settings) -> DataFrame:
 
 def decided(found: DataFrame, kept: DataFrame) -> DataFrame:
     """The candidates that a seed or a kept pattern makes personal data, with kind and score."""
-    best = kept.groupBy("pattern").agg(F.max(F.struct("score", F.col("kind"))).alias("p"))
+    best = kept.groupBy("pattern").agg(F.min(F.struct((-F.col("score")).alias("worse"), "kind")).alias("p"))
     part = lambda letter, column: best.where(F.col("pattern").startswith(f"{letter}:")).select(F.substring("pattern", 3, 1 << 20).alias(column), F.col("p").alias(letter))
     out = found
     for letter, column in (("S", "shape"), ("L", "left"), ("R", "right")):
         out = out.join(part(letter, column), column, "left")
-    seed = F.when(F.col("seed").isNotNull(), F.struct(F.lit(1.0).alias("score"), F.col("seed").alias("kind")))
-    return out.withColumn("d", F.greatest(seed, "S", "L", "R")).where("d IS NOT NULL").withColumns({"kind": F.col("d.kind"), "score": F.col("d.score")})
+    seed = F.when(F.col("seed").isNotNull(), F.struct(F.lit(-1.0).alias("worse"), F.col("seed").alias("kind")))
+    return out.withColumn("d", F.least(seed, "S", "L", "R")).where("d IS NOT NULL").withColumns({"kind": F.col("d.kind"), "score": -F.col("d.worse")})
+
 
+#: Kept patterns that redacted() sends to all executors; with more than that, documents are joined with their findings, with the same result.
+MOST_PATTERNS = 500_000
 
-#: Kept patterns that redacted() sends to all executors; they are few, as each needs SUPPORT and CONFIDENCE.
-MOST_PATTERNS = 2_000_000
+
+def _replaced(text: str, hits: list[tuple[int, int, str]]) -> str:
+    parts, last = [], 0
+    for a, b, kind in hits:
+        parts += [text[last:a], f"[{kind.upper()}]"]
+        last = b
+    return "".join([*parts, text[last:]])
 
 
 def redacted(docs: DataFrame, **settings) -> DataFrame:
-    """docs with every finding replaced by its kind in brackets, such as [EMAIL]. No shuffle of the texts."""
+    """docs with every finding replaced by its kind in brackets, such as [EMAIL]. No shuffle of the texts unless very many patterns are kept."""
     found = written(candidates(docs), "candidates")
     kept = written(patterns(docs, found, **settings), "patterns")
-    if kept.count() > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} patterns are kept; raise confidence or support")
+    return _by_patterns(docs, kept) if kept.count() <= MOST_PATTERNS else _by_findings(docs, kept)
+
+
+def _by_patterns(docs: DataFrame, kept: DataFrame) -> DataFrame:
     best: dict[str, tuple[float, str]] = {}
     for r in kept.collect():
-        best[r.pattern] = max(best.get(r.pattern, (0.0, "")), (r.score, r.kind))
+        best[r.pattern] = max(best.get(r.pattern, (0.0, "")), (r.score, r.kind), key=_rank)
     at, n_at = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def clean(text: str) -> str:
-        parts, last = [], 0
+        found = []
         for a, b, s, x, y, k in candidates_of(text):
             hits = [best[p] for p in (f"S:{s}", f"L:{x}", f"R:{y}") if p in best] + ([(1.0, k)] if k else [])
             if hits:
-                parts += [text[last:a], f"[{max(hits)[1].upper()}]"]
-                last = b
-        return "".join([*parts, text[last:]]) if parts else text
+                found.append((a, b, max(hits, key=_rank)[1]))
+        return _replaced(text, found) if found else text
 
     def run(batches):
         for batch in batches:
@@ -281,3 +356,19 @@ def redacted(docs: DataFrame, **settings) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def _by_findings(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Findings are made for each distinct text, by its hash, and joined with the documents."""
+    key, own, new = free(docs, "__key", "__spans", "__new")
+    texts = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("doc_id"), "text")
+    spans = decided(written(candidates(texts).distinct(), "candidates"), kept).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set(F.struct("start", "stop", "kind", "value")).alias(own))
+
+    @F.udf("string", useArrow=True)
+    def replaced(text, spans):
+        # Should two texts have one hash, only those spans count that are in this one.
+        return None if text is None else _replaced(text, sorted((r["start"], r["stop"], r["kind"]) for r in spans or [] if text[r["start"] : r["stop"]] == r["value"]))
+
+    both = docs.withColumn(key, F.xxhash64("text")).join(spans, key, "left").withColumn(new, replaced("text", F.col(own)))
+    values = {"text": F.col(new), "n_chars": F.length(new)}
+    return both.select(*[(values[c] if c in values else F.col(quoted(c))).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])

@@ -1,4 +1,6 @@
-import math
+import itertools
+import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -8,47 +10,40 @@ from tests.llm import made
 
 
 def brute(texts):
-    """Spans and kinds, scored in plain Python over all texts."""
+    """(text, start, length, kind) by the method, in plain Python over all texts: every pattern in every round."""
     found = [(i, *c, t[c[0] : c[1]]) for i, t in enumerate(texts) for c in pii.candidates_of(t)]
-    links, seeds, shapes, seen = defaultdict(set), {}, defaultdict(set), defaultdict(int)
+    held, other, seeds = defaultdict(set), defaultdict(set), {}
     for t in texts:
-        for w in t.lower().split():
-            seen[w] += 1
+        words = re.split("[ \t\n\r\x0b\x0c]+", t.lower().strip(" \t\n\r\x0b\x0c"))
+        for a, b in itertools.pairwise([None, *words, None]) if words != [""] else []:
+            if a is not None and (b is None or not re.search("[0-9@]", b)):
+                other[f"L:{a}"].add(b)
+            if b is not None and (a is None or not re.search("[0-9@]", a)):
+                other[f"R:{b}"].add(a)
     for _, _, _, s, x, y, k, v in found:
         for p in (f"S:{s}", f"L:{x}", f"R:{y}"):
             if len(p) > 2:
-                links[p].add(v)
-        shapes[s].add(v)
+                held[p].add(v)
         if k:
-            seeds[v] = k
-    links = {p: vs for p, vs in links.items() if len([v for v in vs if v in seeds]) >= pii.SUPPORT}
-    total = {p: len(shapes[p[2:]]) if p[0] == "S" else seen[p[2:]] for p in links}
-    scores, kept = {(v, k): 1.0 for v, k in seeds.items()}, {}
+            seeds[v, k] = 1.0
+    scores = dict(seeds)
     for _ in range(pii.ROUNDS):
-        mass = defaultdict(float)
-        for p, vs in links.items():
-            for v in vs:
-                for k in pii.KINDS:
-                    mass[p, k] += scores.get((v, k), 0)
-        kept = {pk: (m, m / (total[pk[0]] + 1)) for pk, m in mass.items() if m and total[pk[0]]}
-        new = {(v, k): 1.0 for v, k in seeds.items()}
-        miss = defaultdict(float)
-        for (p, k), (m, s) in kept.items():
-            if m >= pii.SUPPORT:
-                for v in links[p]:
-                    miss[v, k] += math.log1p(-min(s, 0.999))
-        for vk, x in miss.items():
-            new[vk] = max(new.get(vk, 0), 1 - math.exp(x))
-        scores = new
-    best = {}
-    for (p, k), (m, s) in kept.items():
-        if s >= pii.CONFIDENCE and m >= pii.SUPPORT:
-            best[p] = max(best.get(p, (0, "")), (s, k))
+        kept, miss = {}, defaultdict(lambda: 1.0)
+        for p, vs in held.items():
+            for k in pii.KINDS:
+                mass = sum(scores.get((v, k), 0) for v in vs)
+                score = mass / (len(vs) + len(other[p]) + 1)
+                if mass >= pii.SUPPORT and score >= pii.DOUBT:
+                    if score >= pii.CONFIDENCE:
+                        kept[p, k] = score
+                    for v in vs:
+                        miss[v, k] *= 1 - min(score, 0.999)
+        scores = {vk: max(1 - m, seeds.get(vk, 0)) for vk, m in miss.items()} | {vk: 1.0 for vk in seeds}
     out = set()
     for i, a, b, s, x, y, k, _ in found:
-        hits = [best[p] for p in (f"S:{s}", f"L:{x}", f"R:{y}") if p in best] + ([(1.0, k)] if k else [])
+        hits = [(-kept[p, c], c) for p in (f"S:{s}", f"L:{x}", f"R:{y}") for c in pii.KINDS if (p, c) in kept] + ([(-1.0, k)] if k else [])
         if hits:
-            out.add((i, a, b - a, max(hits)[1]))
+            out.add((i, a, b - a, min(hits)[1]))
     return out
 
 
@@ -90,3 +85,47 @@ def test_edges(spark):
     assert clean.columns == docs.columns and clean.count() == docs.count()
     assert clean.where("text LIKE '%@%'").count() == 0 and clean.where("text IS NULL").count() == docs.where("text IS NULL").count()
     assert pii.findings(docs.limit(0)).count() == pii.redacted(docs.limit(0)).count() == 0
+
+
+def test_contexts_of_few_seeds_are_bootstrapped(spark):
+    """A word of 4 seeds and 40 instances that another word discovers is kept, and finds what only it stands beside."""
+    texts = [f"call +49 30 12345{k:02d} now{k}" for k in range(90)] + [f"call 030/{k:02d}-7{k}9 so{k}" for k in range(12)]
+    texts += [f"ring +49 40 77788{k} well{k}" for k in range(4)] + [f"ring 030/{k:02d}-7{k}9 then{k}" for k in range(12)] + ["ring x5-12-77z later"]
+    got = {(r.doc_id, r.start, r.length, r.kind) for r in pii.findings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == brute(texts)
+    assert (len(texts) - 1, 5, 9, "phone") in got
+
+
+def test_random_tables_against_plain_python(spark):
+    rng = random.Random(8)
+    for _ in range(3):
+        lead = ["call", "mail", "at", "no", "the", "card"]
+        what = [lambda: f"+4{rng.randint(1, 9)} {rng.randint(10, 99)} {rng.randint(10**5, 10**6)}", lambda: f"u{rng.randint(1, 99)}@h{rng.randint(1, 4)}.org", lambda: f"0{rng.randint(10, 99)}/{rng.randint(100, 999)}", lambda: f"{rng.randint(1, 40)}", lambda: made.words(rng, 1)]
+        texts = [" ".join(f"{rng.choice(lead)} {rng.choices(what, [4, 3, 3, 1, 1])[0]()}" for _ in range(rng.randint(1, 4))) for _ in range(120)]
+        got = {(r.doc_id, r.start, r.length, r.kind) for r in pii.findings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+        assert got == brute(texts)
+
+
+def test_long_words_and_cards_are_whole(spark):
+    assert pii._neighbour("a " + "y" * 500 + " 12 " + "z" * 700 + " b", 503, 505) == ("y" * 500, "z" * 700)
+    assert pii._neighbour("12", 0, 2) == ("", "") and pii._neighbour("x 12 \u00a0 y", 2, 4) == ("x", "y")
+    assert pii.shape("first.last+tag99_long.name@ab.cd") == pii.shape("a.b@xy.z") and "@" in pii.shape("abcdefghijkl!#$%mnop@x.y")
+    assert pii.shape("a!b!c!d!e!f@x.y") != pii.shape("a!b!c!d!e!g!h@x.y")
+    assert [(a, b) for a, b in pii.spans("pay 4000 0000 0000 0000 006 now")] == [(4, 27)] and pii._card("4000 0000 0000 0000 006")
+
+
+def test_many_patterns_are_joined_with_the_same_result(spark, monkeypatch):
+    rows = [(i, t, len(t), "x") for i, t in enumerate([*TEXTS, TEXTS[0]])] + [(None, None, None, None), (3, TEXTS[1], 1, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, __key string")
+    first = made.rows(pii.redacted(docs))
+    monkeypatch.setattr(pii, "MOST_PATTERNS", 0)
+    again = pii.redacted(docs)
+    assert made.rows(again) == first and again.columns == docs.columns
+
+
+def test_the_first_pass_never_counts_too_many(spark, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    monkeypatch.setattr(pii, "PAIRS", 5)
+    least = {(r.key, r.side): r.least for r in pii.least_contexts(docs).collect()}
+    exact = {(r.key, r.side): r.plain for r in pii.contexts(docs).collect()}
+    assert least.keys() == exact.keys() and all(n <= exact[k] for k, n in least.items())
