@@ -66,4 +66,4 @@ QUERIES = {
     )
 }
 
-SQL = {"op3_packing": packing.sql(), "op7_quality_rules": quality.sql(), "op8_secret_scan": secrets.sql()}
+SQL = {"op3_packing": packing.sql(), "op7_quality_rules": quality.sql(), "op8_secret_scan": secrets.sql(), "op10_embedding_near_duplicates": vectors.sql()}
