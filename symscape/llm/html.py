@@ -1,6 +1,7 @@
 """Operator 5, main text of web pages by a maximum-scoring subsequence.
 
-A page is a sequence of words and tags; comments, scripts, styles and other elements without readable text are one tag each. A word
+A page is a sequence of words and tags; comments, scripts, styles, titles and other elements without readable text are one tag each; a
+sign > in a quoted value ends no tag, and end tags may be missing wherever HTML allows it or a page just lacks them. A word
 scores a positive weight, a tag a negative one, by its name. The contiguous run of words and tags with the greatest sum is the content,
 found by one linear scan; its words, with entities decoded and block tags as line breaks, are the text.
 
@@ -32,34 +33,72 @@ SCALES = (1.0, 2.0, 4.0, 8.0, 16.0)
 #: What a worker counts before it hands the counts on, in kinds of tokens; tag names of broken pages are without end.
 MOST_KINDS = 100_000
 
-_HIDDEN = "script|style|noscript|template|svg|head|iframe|object|select|textarea"
-_TAG = re.compile(rf"<(?:!--.*?(?:-->|\Z)|({_HIDDEN})\b[^>]*>.*?(?:</\1\s*>|\Z)|(/?[a-z][a-z0-9:-]*)[^>]*(?:>|\Z)|[!?][^>]*(?:>|\Z))", re.S | re.I)
+#: What ends only at its own end tag, and has none of the page's text in it; without an end tag code runs to the end of the page, the others are mere tags.
+_RAW, _CODE = {"script", "style", "title", "textarea", "iframe"}, {"script", "style"}
+#: Elements without readable text that hold tags; without an end tag they are mere tags too.
+_HIDDEN = {"noscript", "template", "svg", "object", "select"}
+#: A quoted value after = may hold a >.
+_TAG = re.compile(r"""<(?:(!--)|(/?[a-z][a-z0-9:-]*)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+)(?:>|\Z)|[!?][^>]*+(?:>|\Z))""", re.I)
 _BLOCK = {"p", "div", "br", "li", "ul", "ol", "tr", "td", "table", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "main", "header", "footer", "nav", "blockquote", "pre", "hr"}
 
 
+def _ends(page: str, name: str) -> dict[int, int]:
+    """Where each element of this name that has an end tag ends, by its place; the ends pair off with the nearest starts."""
+    out: dict[int, int] = {}
+    opened: list[int] = []
+    for m in re.finditer(rf"<(/?){name}(?![a-z0-9:-])[^>]*+(?:>|\Z)", page, re.I):
+        if not m[1]:
+            if name != "svg" or not m[0].endswith("/>"):
+                opened.append(m.start())
+        elif opened:
+            out[opened.pop()] = m.end()
+    return out
+
+
 def tokens(page: str) -> list[tuple[str, str]]:
-    """("word", its text) for each run of text between tags that has words, ("/p", "") for a tag."""
+    """("word", its text) for each run of text between tags, be it blanks alone, ("/p", "") for a tag."""
     out: list[tuple[str, str]] = []
+    ends: dict[str, dict[int, int]] = {}
+    closed: dict[str, re.Pattern] = {}
+    missing: set[str] = set()
     last = 0
-    for m in _TAG.finditer(page):
-        if m.start() > last:
-            text = page[last : m.start()]
-            if text.strip():
-                out.append(("word", text))
-        last = m.end()
-        name = m.group(2) or m.group(1) or "!"
-        out.append((name.lower(), ""))
-    if page[last:].strip():
+    while m := _TAG.search(page, last):
+        if last < m.start():
+            out.append(("word", page[last : m.start()]))
+        last, name = m.end(), (m[2] or "!").lower()
+        if m[1]:
+            end = page.find("-->", m.start() + 2)
+            last = end + 3 if end >= 0 else len(page)
+        elif name in _RAW and name not in missing:
+            if name not in closed:
+                closed[name] = re.compile(rf"</{name}(?![a-z0-9:-])[^>]*+(?:>|\Z)", re.I)
+            end = closed[name].search(page, last)
+            if end:
+                last = end.end()
+            elif name in _CODE:
+                last = len(page)
+            else:
+                missing.add(name)
+        elif name in _HIDDEN and not (name == "svg" and m[3].endswith("/")):
+            if name not in ends:
+                ends[name] = _ends(page, name)
+            last = ends[name].get(m.start(), last)
+        out.append((name, ""))
+    if last < len(page):
         out.append(("word", page[last:]))
     return out
 
 
 def content_run(names: list[str]) -> tuple[int, int] | None:
-    """Places of the first label element's tags, None on a page that has none."""
+    """Places of the first label element's tags, None on a page that has none; elements of the same name within it are part of it."""
     for i, n in enumerate(names):
         if n in LABEL:
-            ends = [j for j in range(i + 1, len(names)) if names[j] == "/" + n]
-            return i, (ends[0] if ends else len(names))
+            depth = 0
+            for j in range(i, len(names)):
+                depth += (names[j] == n) - (names[j] == "/" + n)
+                if not depth:
+                    return i, j
+            return i, len(names)
     return None
 
 
@@ -144,7 +183,9 @@ def weights(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
     if not within or not outside:
         return {"word": 1.0}
     out = {k: math.log((a + 0.5) / within) - math.log((b + 0.5) / outside) for k, (a, b) in counts.items()}
-    return {k: max(w, LEAST) if k == "word" else min(w, -LEAST) for k, w in out.items()} | ({} if "word" in out else {"word": 1.0})
+    # Multiples of a power of two, so that sums are exact and ties are ties.
+    exact = lambda w: round(w * (1 << 20)) / (1 << 20)
+    return {k: exact(max(w, LEAST) if k == "word" else min(w, -LEAST)) for k, w in out.items()} | ({} if "word" in out else {"word": 1.0})
 
 
 def best_run(scores: np.ndarray) -> tuple[int, int]:
