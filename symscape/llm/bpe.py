@@ -4,7 +4,8 @@ A pair of bytes that stands inside no token of the vocabulary is a certain cut:
 pairs that the splitting rule of the vocabulary can't see across either (see Tokenizer.cuts), each distinct fragment is encoded once,
 and the fragments' tokens are put together again. The tokens are those of encoding the whole text at once.
 
-Decoding looks up the bytes of all tokens of many texts at once.
+Decoding looks up the bytes of all tokens of many texts at once. A token that is null, negative or of no entry of the vocabulary decodes
+to U+FFFD, and so do bytes that are no text, as in a list cut within a character.
 
 Defined results: a null text has null tokens, an empty one none; repeated rows are encoded alike; a text of any length is encoded
 whole; strings of special tokens are ordinary text; lone surrogates can't occur in Spark's strings; an empty table gives an empty
@@ -26,6 +27,8 @@ from symscape.llm.common import _power_tables, chunks, mix
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splits a text before bytes are merged; a piece of it never shares a token with the next.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: What a token that the vocabulary hasn't decodes to.
+UNKNOWN = "\ufffd".encode()
 #: A worker forgets what it encoded beyond so many distinct fragments.
 REMEMBERED = 400_000
 
@@ -50,6 +53,7 @@ class Tokenizer:
         tokens = [b""] * most
         for t, r in ranks.items():
             tokens[r] = t
+        tokens = [*(t or UNKNOWN for t in tokens), UNKNOWN]
         self.lengths = np.array([len(t) for t in tokens], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
@@ -123,6 +127,7 @@ class Tokenizer:
 
     def decode(self, tokens: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """The bytes of each text."""
+        tokens = np.where((tokens < 0) | (tokens >= len(self.lengths)), len(self.lengths) - 1, tokens)
         n = self.lengths[tokens]
         raw = self.bytes[_runs(self.starts[tokens], n)].tobytes()
         ends = np.concatenate([[0], np.cumsum(n)])[offsets].tolist()
@@ -165,7 +170,7 @@ def encoded(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
 
 def decoded(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(doc_id, text) of (doc_id, tokens); null tokens give a null text. Bytes that are no text, as in a cut list, become U+FFFD."""
+    """(doc_id, text) of (doc_id, tokens); null tokens give a null text, unknown ones U+FFFD."""
 
     def run(batches):
         own = tokenizer(path)
@@ -173,8 +178,8 @@ def decoded(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:
             lists = batch.column(1)
             filled = [x or [] for x in lists.to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in filled])]).astype(np.int64)
-            parts = own.decode(np.array([t for x in filled for t in x], np.int64), offsets)
+            parts = own.decode(np.array([-1 if t is None else t for x in filled for t in x], np.int64), offsets)
             texts = [p.decode("utf-8", "replace") if v else None for p, v in zip(parts, lists.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("tokens").cast("array<int>").alias("tokens")).mapInArrow(run, "doc_id long, text string")
+    return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("tokens").cast("array<long>").alias("tokens")).mapInArrow(run, "doc_id long, text string")

@@ -44,3 +44,13 @@ def test_round_trip_of_a_table(spark):
     assert made.rows(got.select("doc_id", "md5", "n_bytes")) == made.rows(docs.selectExpr("doc_id", "md5(text)", "octet_length(text)"))
     assert bpe.encoded(docs.limit(0)).count() == 0
     assert np.all([r.n_tokens == len(r.tokens) for r in got.where("tokens IS NOT NULL").collect()])
+
+
+def test_decoding_of_what_is_no_token(spark):
+    own = bpe.tokenizer()
+    a, b = own.encoding.encode_ordinary("one")[0], own.encoding.encode_ordinary(" two")[0]
+    rows = [(1, [a, None, b]), (2, [-1]), (3, [a, 10**9, b]), (4, []), (5, None), (6, [2**40]), (7, own.encoding.encode_ordinary("\u00e9")[:1]), (8, [len(own.lengths) - 1]), (None, [a])]
+    got = {r.doc_id: r.text for r in bpe.decoded(spark.createDataFrame(rows, "doc_id long, tokens array<long>")).collect()}
+    assert got == {1: "one\ufffd two", 2: "\ufffd", 3: "one\ufffd two", 4: "", 5: None, 6: "\ufffd", 7: got[7], 8: "\ufffd", None: "one"}
+    assert got[7] in ("\u00e9", "\ufffd")
+    assert bpe.decoded(spark.createDataFrame([(1, [a])], "doc_id long, tokens array<int>")).first().text == "one"
