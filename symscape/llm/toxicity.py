@@ -6,15 +6,21 @@ spans, normalised to 1 for equal strings: gaps and inserted characters lower it
 is a hit of the nearest toxic landmark. Hits add up to a log-likelihood ratio of their rates in toxic and clean sentences, since some
 terms are proof and others occur in clean texts now and then; a document whose ratio is above MARGIN is toxic.
 
-Training: sentences of at most TOXIC and CLEAN labelled documents (the ones with the least hash of doc_id). Sentences of toxic
-documents are positive where they hold a token that occurs in many different contexts there and hardly in clean documents; repeated
-sentences count once, so groups of copies teach nothing. Positive strings are trained on with gapped and inserted variants too.
+Training: sentences of a bounded sample of the labelled documents, at most TOXIC and CLEAN of them (the ones with the least hash of
+doc_id) and CHARACTERS characters of each kind. Sentences of toxic documents are positive where they hold a token that occurs in many
+different contexts there and hardly in clean documents; repeated sentences count once, so groups of copies teach nothing. Landmarks are
+LANDMARKS at most of the CONSIDERED most telling tokens, those of at most LETTERS different characters (the bound below has a table of
+all sets of them), and HARD clean strings at most of the TRIED nearest to them. Positive strings are trained on with gapped and inserted
+variants too; negative ones are the NEGATIVES nearest to the landmarks and as many at random. These bounds shape what is learnt from the
+sample alone; every document is scored whole.
 
 Scoring sees every token: an upper bound of a token's score from the set of its characters, which follows from Cauchy-Schwarz, skips
 tokens that can't be positive; all others get the exact kernel.
 
 Defined results: null or empty texts are not toxic; without labels of both classes, or without telling tokens, nothing is toxic;
-repeated labels count once, null labels not at all; repeated documents are decided alike; an empty table gives an empty result.
+repeated labels count once, null labels not at all, and a document that is labelled both ways teaches nothing; repeated documents are
+decided alike; texts of any length are scored whole; an empty table gives an empty result. toxic_documents() reads doc_id and text alone;
+without_toxic() passes on all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,14 +31,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from symscape.llm.common import TOKEN, WORD, Words, chunks, texts_of
 
 ORDER, DECAY = 3, np.float32(0.6)
-TOXIC, CLEAN = 1500, 2500
-LANDMARKS, HARD, NEAR = 24, 8, 0.6
+TOXIC, CLEAN, CHARACTERS = 1500, 2500, 20_000_000
+LANDMARKS, CONSIDERED, LETTERS, HARD, TRIED, NEGATIVES, NEAR = 24, 600, 16, 8, 400, 4000, 0.6
 #: How many times as frequent a token must be in toxic sentences; the ridge of the support vector machine; the score from which a string is a hit; the log-likelihood ratio from which a document is toxic.
 TELLING, RIDGE, CUT, MARGIN = 8.0, 2e-3, -0.3, 2.5
 #: Hits are told apart by their kernel with the nearest landmark.
@@ -259,7 +265,7 @@ def fit(texts: list[tuple[str, int]]) -> Model | None:
     least = max(5, 0.006 * docs)
     telling = {w: len(c) for w, c in contexts.items() if len(c) >= least and holders[w] >= 3 and rate(w) >= TELLING}
     # Landmarks: again and again the token to which most contexts of tokens without a near landmark are near.
-    some = [w for w in sorted(telling, key=lambda w: (-telling[w], w))[:600] if len({_bit(c) for c in w}) <= 16]
+    some = [w for w in sorted(telling, key=lambda w: (-telling[w], w))[:CONSIDERED] if len({_bit(c) for c in w}) <= LETTERS]
     chosen: list[str] = []
     if some:
         close, rest = kernels(some, some) >= NEAR, np.array([float(telling[w]) for w in some])
@@ -280,10 +286,10 @@ def fit(texts: list[tuple[str, int]]) -> Model | None:
     pool = sorted(w for w in count[0] if w not in telling)
     near = kernels(pool, chosen).max(1)
     order = np.argsort(-near, kind="stable")
-    negative = [pool[i] for i in order[:4000]] + [pool[i] for i in rng.permutation(len(pool))[:4000]]
+    negative = [pool[i] for i in order[:NEGATIVES]] + [pool[i] for i in rng.permutation(len(pool))[:NEGATIVES]]
     hard: list[str] = []
-    for i in order[:400]:
-        if len(hard) < HARD and len({_bit(c) for c in pool[i]}) <= 16 and kernels([pool[i]], chosen + hard).max() < 0.7:
+    for i in order[:TRIED]:
+        if len(hard) < HARD and len({_bit(c) for c in pool[i]}) <= LETTERS and kernels([pool[i]], chosen + hard).max() < 0.7:
             hard.append(pool[i])
     landmarks = chosen + hard
     gram = kernels(landmarks, landmarks).astype(float)
@@ -317,14 +323,17 @@ def fit(texts: list[tuple[str, int]]) -> Model | None:
     return Model(landmarks, model.beta, model.bias, len(chosen), np.where(weights >= LEAST, weights, 0), each)
 
 
-def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN) -> Model | None:
-    """A model from a bounded sample of the labelled documents."""
-    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("y"))
+def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN, characters: int = CHARACTERS) -> Model | None:
+    """A model from a bounded sample of the labelled documents: of each kind so many of the least hashes, as long as they have no more characters together."""
+    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.min(F.col("toxic").cast("int")).alias("y"), F.max(F.col("toxic").cast("int")).alias("most")).where("y = most AND y IN (0, 1)")
     ids = None
     for y, most in ((1, toxic), (0, clean)):
-        part = known.where(F.col("y") == y).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        part = known.where(F.col("y") == y).select("doc_id", "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         ids = part if ids is None else ids.union(part)
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y").collect()
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    # Rows of one id count as the least text; of so few documents the running sum is one small task's.
+    so_far = F.sum(F.length("text")).over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
+    rows = rows.withColumn("so_far", so_far).where(F.col("so_far") <= characters).select("doc_id", "text", "y").collect()
     return fit([(r.text, r.y) for r in sorted(rows, key=lambda r: (r.doc_id, r.y, r.text))])
 
 
