@@ -190,8 +190,9 @@ def described(facts: DataFrame) -> DataFrame:
     return targets.withColumn("owner", F.coalesce("container", F.lit(""))).join(chosen, ["snapshot", "lang", "file", "owner", "name"]).drop("owner")
 
 
-def state_hash(source: DataFrame, digits: int = 12) -> DataFrame:
-    """(snapshot, state): a hash of all paths and contents, in order of the paths' parts."""
-    rows = F.sort_array(F.collect_list(F.struct(paths.parts(F.col("path")).alias("p"), "path", F.md5("raw").alias("h"))))
-    bytes_of = F.aggregate(F.transform("r", lambda x: F.concat(F.encode(x["path"], "UTF-8"), F.unhex(x["h"]))), F.lit(b""), lambda a, b: F.concat(a, b))
-    return source.groupBy("snapshot").agg(rows.alias("r")).select("snapshot", F.substring(F.md5(bytes_of), 1, digits).alias("state"))
+def state_hash(source: DataFrame, digits: int = 12, seed: bytes = b"") -> DataFrame:
+    """(snapshot, state): a hash of all paths and contents, in order of the paths' parts. seed: what else the state depends on, such as the generator's own fingerprint. Files are hashed before they are gathered."""
+    each = F.concat(F.hex(F.encode("path", "UTF-8")), F.md5("raw"))
+    rows = F.sort_array(F.collect_list(F.struct(paths.parts(F.col("path")).alias("p"), each.alias("h"))))
+    whole = F.unhex(F.concat(F.lit(seed.hex()), F.array_join(F.transform("r", lambda x: x["h"]), "")))
+    return source.groupBy("snapshot").agg(rows.alias("r")).select("snapshot", F.substring(F.md5(whole), 1, digits).alias("state"))

@@ -14,8 +14,9 @@ CONTROL, SCHEMA_VERSION = "B", 3
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of JSON lines with the fixed schema and their place; blank lines are skipped and a broken one ends the read."""
-    return spark.read.schema(RUNS).option("mode", "FAILFAST").json(path).withColumn("place", F.monotonically_increasing_id())
+    """Rows of JSON lines with the fixed schema and their place, which orders them by file name and within each file; blank lines are skipped and a broken one ends the read."""
+    rows = spark.read.schema(RUNS).option("mode", "FAILFAST").json(path)
+    return rows.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("place"))
 
 
 def latest_cells(runs: DataFrame) -> DataFrame:

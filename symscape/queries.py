@@ -65,7 +65,10 @@ def zero_usage(spark, d):
     return declared.join(used, "name", "left").select("name", "declared", F.coalesce("used", F.lit(0)).alias("used")).where("used <= declared")
 
 
-@query()
+_LITERALS = "|".join([rf"{q * 3}(?:(?:{q}|{q * 2})?(?:[^{q}\\]|\\.))*{q * 3}" for q in "\"'"] + [rf"{q}(?:[^{q}\\\n]|\\.)*{q}" for q in "\"'"]).replace("'", "''")
+
+
+@query(rf"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)/\*.*?\*/', ' ', 'g'), '(?s){_LITERALS}', '"s"', 'g'), '(?://|#)[^\n]*', ' ', 'g') AS code FROM pages""")
 def strip_strings(spark, d):
     return table(spark, d, "pages").select("page_id", text.without_comments_and_strings(F.col("html")).alias("code"))
 
@@ -79,9 +82,9 @@ def secret_redact(spark, d):
     return table(spark, d, "part").select("p_partkey", text.constant_display(name, value).alias("display"))
 
 
-@query("""SELECT p_partkey, 'hr1-' || substr(sha256('{"check":"dead","discriminator":null,"kind":"' || p_type || '","path":"' || p_brand || '","subject":"' || p_name || '","version":1}'), 1, 20) AS id FROM part""")
+@query("""SELECT p_partkey, 'hr1-' || substr(sha256('{"check":"dead","discriminator":null,"kind":"' || p_type || '","path":"' || p_brand || '\\u00e9","subject":"' || p_name || '\\ud83d\\ude00\\n","version":1}'), 1, 20) AS id FROM part""")
 def finding_id(spark, d):
-    return table(spark, d, "part").select("p_partkey", text.finding_id(F.lit("dead"), F.col("p_type"), F.col("p_name"), F.col("p_brand"), F.lit(None).cast("string")).alias("id"))
+    return table(spark, d, "part").select("p_partkey", text.finding_id(F.lit("dead"), F.col("p_type"), F.concat("p_name", F.lit("\U0001f600\n")), F.concat("p_brand", F.lit("é")), F.lit(None).cast("string")).alias("id"))
 
 
 @query(r"SELECT page_id, list_aggregate(list_transform(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9-]*)', 1), lambda x: lower(x)), 'string_agg', ',') AS tags, CAST(len(regexp_extract_all(html, '(?i)<script\b')) AS BIGINT) AS scripts FROM pages")

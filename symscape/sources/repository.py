@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections import Counter
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,19 +21,35 @@ _LISTS = ("params", "param_names", "fields", "calls", "supers", "permits", "rais
 
 
 def files(spark: SparkSession, root: str, snapshot: str = "new", langs: list[str] | None = None) -> DataFrame:
-    """(snapshot, path, lang, raw, text): the known files under a folder, by path from there. Only the names of other files are read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    """(snapshot, path, lang, raw, text): the known files under a folder, by path from there. Names are listed first, without opening a file; then only the files that count are opened."""
+    reader = spark.read.format("binaryFile")
     start = F.length(F.lit(root.split(":", 1)[-1].rstrip("/"))) + 2
     plain = F.regexp_replace("path", r"^[a-z]+:/*(?=/)", "")
-    return files_of(found.select(F.substring(plain, start, F.length(plain)).alias("path"), F.col("content").alias("raw")), snapshot, langs)
+    path = F.substring(plain, start, F.length(plain))
+    listed = reader.option("recursiveFileLookup", "true").load(root).select(F.col("path").alias("whole"), path.alias("path"))
+    wanted = [re.sub(r"([\\{}\[\]*?])", r"\\\1", r.whole) for r in _known(listed, langs).select("whole").collect()]
+    if not wanted:
+        return files_of(spark.createDataFrame([], "path string, raw binary"), snapshot, langs)
+    return files_of(spark.read.format("binaryFile").load(wanted).select(path.alias("path"), F.col("content").alias("raw")), snapshot, langs)
+
+
+def _known(found: DataFrame, langs: list[str] | None) -> DataFrame:
+    known = found.where(paths.scanned(F.col("path"))).withColumn("lang", paths.language(F.col("path")))
+    return known if langs is None else known.where(F.col("lang").isin(*langs))
+
+
+def generator_fingerprint() -> bytes:
+    """A hash of the sources of this package, in order: a state seeded with it changes with the extraction too."""
+    home = Path(__file__).resolve().parent.parent
+    out = hashlib.sha256()
+    for f in sorted(home.rglob("*.py"), key=lambda f: f.relative_to(home).as_posix()):
+        out.update(f.relative_to(home).as_posix().encode() + b"\0" + hashlib.sha256(f.read_bytes()).digest())
+    return out.digest()
 
 
 def files_of(found: DataFrame, snapshot: str = "new", langs: list[str] | None = None) -> DataFrame:
     """The same from a table (path, raw) such as the files of a revision. The filter on language comes before any content is looked at."""
-    known = found.where(paths.scanned(F.col("path"))).withColumn("lang", paths.language(F.col("path")))
-    if langs is not None:
-        known = known.where(F.col("lang").isin(*langs))
-    return known.select(F.lit(snapshot).alias("snapshot"), "path", "lang", "raw", F.make_valid_utf8(F.col("raw").cast("string")).alias("text"))
+    return _known(found, langs).select(F.lit(snapshot).alias("snapshot"), "path", "lang", "raw", F.make_valid_utf8(F.col("raw").cast("string")).alias("text"))
 
 
 def extract(source: str, lang: str, path: str) -> list[dict]:
