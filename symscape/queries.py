@@ -272,12 +272,6 @@ def capped_names(spark, d):
     return listed.select("p_brand", F.concat(F.array_join(F.slice("l", 1, 8), ", "), more).alias("names"))
 
 
-@query("SELECT c_custkey, CAST((c_custkey + k) % 4 AS BIGINT) AS arm, CAST(k AS BIGINT) AS turn FROM customer, (SELECT unnest(range(0, 4)) AS k)")
-def counterbalanced_schedule(spark, d):
-    """Every block holds all arms, rotated by its number."""
-    return table(spark, d, "customer").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).select("c_custkey", ((F.col("c_custkey") + F.col("k")) % 4).cast("long").alias("arm"), F.col("k").cast("long").alias("turn"))
-
-
 # --- sets and graphs
 
 
