@@ -1,5 +1,7 @@
 import hashlib
 
+import duckdb
+
 from symscape.llm import secrets
 from tests.llm import made
 
@@ -10,3 +12,7 @@ def test_keywords_inside_names_and_short_passwords(spark):
     docs = spark.createDataFrame([(i, t, "en", "o", 0) for i, t in enumerate(texts)], made.DOCS)
     got = {(r.doc_id, r.secret) for r in secrets.scan(docs).where("kind = 'assigned'").collect()}
     assert got == {(i, hashlib.md5(v.encode()).hexdigest()) for i, v in enumerate(texts.values()) if v}
+    with duckdb.connect() as db:
+        db.register("documents", docs.toArrow())
+        want = db.sql(secrets.sql())
+        assert made.rows(secrets.scan(docs).select(*want.columns)) == made.rows_of(want.fetchall())

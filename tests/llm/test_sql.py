@@ -39,7 +39,8 @@ def test_small_tables(spark, name, made_rows):
 def test_the_drivers_table(spark, name):
     d = "/root/testdata/sf0.001"
     with duckdb.connect() as db:
-        db.sql(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+        for t in ("documents", "embeddings"):
+            db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
         want = db.sql(SQL[name])
         assert made.rows(QUERIES[name](spark, d).select(*want.columns)) == made.rows_of(want.fetchall())
 
