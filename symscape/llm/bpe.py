@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symscape.llm.common import _power_tables, chunks, mix
+from symscape.llm.common import _power_tables, chunks, mix, tidy
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splits a text before bytes are merged; a piece of it never shares a token with the next.
@@ -164,7 +164,7 @@ def encoded(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, tokens array<int>, n_tokens long, n_bytes long, md5 string"
-    out = full.where(F.col("text").isNotNull()).mapInArrow(run, schema)
+    out = full.where(F.col("text").isNotNull()).mapInArrow(tidy(run), schema)
     none = full.where(F.col("text").isNull()).select("doc_id", *[F.lit(None).cast(t).alias(c) for c, t in (("tokens", "array<int>"), ("n_tokens", "long"), ("n_bytes", "long"), ("md5", "string"))])
     return out.unionByName(none)
 
@@ -182,4 +182,4 @@ def decoded(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:
             texts = [p.decode("utf-8", "replace") if v else None for p, v in zip(parts, lists.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("tokens").cast("array<long>").alias("tokens")).mapInArrow(run, "doc_id long, text string")
+    return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("tokens").cast("array<long>").alias("tokens")).mapInArrow(tidy(run), "doc_id long, text string")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +15,14 @@ from symscape.storage import drop, written  # noqa: F401 (operators take them fr
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+#: Rows of a batch that goes to a Python worker: texts can be long, and the batch lies in the JVM's memory too.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a folder. Where a session still has Spark's own size of batches, it gets a smaller one."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "2000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,6 +46,33 @@ def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", "text", *more).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
 
 
+#: Rows of a batch that a task turns into Python's objects at once.
+SLICE = 1000
+
+
+def tidy(run):
+    """run for mapInArrow, with batches of SLICE rows at most; when a task has ended its memory goes back to the machine, as workers live on for other stages."""
+
+    def small(batches):
+        for batch in batches:
+            for a in range(0, max(batch.num_rows, 1), SLICE):
+                yield batch.slice(a, SLICE)
+
+    def whole(batches):
+        try:
+            yield from run(small(batches))
+        finally:
+            _power_tables(0)
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library keeps its memory
+                pass
+
+    return whole
+
+
 # --- words of many texts at once, as 64-bit polynomial hashes
 
 _R = np.uint64(0x9E3779B97F4A7C15)
@@ -48,6 +86,9 @@ TOKEN = np.array([b not in b" \t\n\r\x0b\x0c" for b in range(256)])
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers up to n; with n = 0 those that are kept are dropped."""
+    if not n:
+        _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
     if len(_powers[0]) < n:
         for k, r in enumerate((_R, _R_INV)):
             steps = np.full(max(n, 1 << 20), r, np.uint64)

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from symscape.llm.common import tidy
+
 LABEL = ("article", "main")
 LEAST, UNKNOWN = 0.05, -2.0
 SCALES = (1.0, 2.0, 4.0, 8.0, 16.0)
@@ -135,7 +137,7 @@ def train(pages: DataFrame) -> dict[str, float]:
                     yield flush()
         yield flush()
 
-    counts = pages.where(F.col("html").isNotNull()).select("html").mapInArrow(run, "kind string, within long, outside long")
+    counts = pages.where(F.col("html").isNotNull()).select("html").mapInArrow(tidy(run), "kind string, within long, outside long")
     # A kind that is on hardly any page weighs as an unknown tag does.
     rows = counts.groupBy("kind").agg(F.sum("within").alias("within"), F.sum("outside").alias("outside")).where("within + outside >= 5").collect()
     weight = weights({r.kind: (r.within, r.outside) for r in rows})
@@ -174,7 +176,7 @@ def best_scale(pages: DataFrame, weight: dict[str, float]) -> float:
                     sums += np.array(one)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(SCALES)), pa.int32()), pa.array(sums[:, 0]), pa.array(sums[:, 1])], ["k", "both", "either"])
 
-    sums = pages.where(F.col("html").isNotNull()).select("html").mapInArrow(run, "k int, both long, either long").groupBy("k").agg(F.sum("both").alias("both"), F.sum("either").alias("either")).collect()
+    sums = pages.where(F.col("html").isNotNull()).select("html").mapInArrow(tidy(run), "k int, both long, either long").groupBy("k").agg(F.sum("both").alias("both"), F.sum("either").alias("either")).collect()
     return SCALES[min(sums, key=lambda r: (-r.both / max(r.either, 1), r.k)).k] if sums else 1.0
 
 
@@ -231,4 +233,4 @@ def extracted(pages: DataFrame, weight: dict[str, float]) -> DataFrame:
             found = [text_of(p, weight) for p in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in found], pa.string()), pa.array([len(t.split()) for t, _ in found], pa.int64()), pa.array([s for _, s in found], pa.float64())], ["page_id", "text", "n_words", "score"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).mapInArrow(run, "page_id long, text string, n_words long, score double")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).mapInArrow(tidy(run), "page_id long, text string, n_words long, score double")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symscape.llm.common import Words, chunks, drop, free, mix, quoted, texts_of, written
+from symscape.llm.common import Words, chunks, drop, free, mix, quoted, texts_of, tidy, written
 
 HASHES, BANDS, SHINGLE, THRESHOLD = 128, 32, 3, 0.55
 #: Signatures that are compared with one another in one task at a time.
@@ -74,7 +74,7 @@ def sketch(docs: DataFrame, hashes: int = HASHES, shingle: int = SHINGLE) -> Dat
                 own, sig = signatures(texts, hashes, shingle)
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in own], pa.int64()), pa.array([row.tobytes() for row in sig], pa.binary())], ["doc_id", "sig"])
 
-    return texts_of(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, sig binary")
+    return texts_of(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, sig binary")
 
 
 def linked(sig: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -118,7 +118,7 @@ def verified(members: DataFrame, least: int) -> DataFrame:
             yield out(found)
         yield out(flush())
 
-    return members.select("key", "part", "doc_id", "sig").repartition("key", "part").sortWithinPartitions("key", "part", "doc_id").mapInArrow(run, "a long, b long")
+    return members.select("key", "part", "doc_id", "sig").repartition("key", "part").sortWithinPartitions("key", "part", "doc_id").mapInArrow(tidy(run), "a long, b long")
 
 
 def across(large: DataFrame, edges: DataFrame, least: int, most: int) -> DataFrame:

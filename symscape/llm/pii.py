@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symscape.llm.common import TOKEN, Words, chunks, free, mix, quoted, texts_of, written
+from symscape.llm.common import TOKEN, Words, chunks, free, mix, quoted, texts_of, tidy, written
 
 ROUNDS, CONFIDENCE, SUPPORT, DOUBT = 3, 0.75, 5, 0.2
 
@@ -167,7 +167,7 @@ def candidates(docs: DataFrame) -> DataFrame:
                 columns = list(zip(*rows, strict=True)) or [()] * 8
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int32(), pa.int32(), *[pa.string()] * 5], strict=True)], ["doc_id", "start", "stop", "value", "shape", "left", "right", "seed"])
 
-    return texts_of(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return texts_of(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), schema)
 
 
 def word_keys(words: DataFrame, column: str) -> DataFrame:
@@ -180,13 +180,13 @@ def word_keys(words: DataFrame, column: str) -> DataFrame:
             found = Words(names, TOKEN)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found.hash[found.first[:-1]].view(np.int64))], [column, "key"])
 
-    return words.select(column).mapInArrow(run, schema)
+    return words.select(column).mapInArrow(tidy(run), schema)
 
 
 #: Context words whose neighbours alone are taken from the corpus (8 bytes each go to all tasks); with more than that all are, and joined, with the same result.
 COUNTED_AT_ONCE = 1_000_000
 #: Pairs of a word and its neighbour that a task makes distinct before it hands them on.
-PAIRS = 1_000_000
+PAIRS = 500_000
 
 
 def _pairs(batches, wanted: np.ndarray | None):
@@ -236,7 +236,7 @@ def least_contexts(docs: DataFrame, wanted: np.ndarray | None = None) -> DataFra
             at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (side[1:] != side[:-1])])) if len(key) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), _sides(side[at]), pa.array(np.diff(np.append(at, len(key))))], ["key", "side", "n"])
 
-    return docs.where(F.col("text").isNotNull()).select("text").mapInArrow(run, "key long, side string, n long").groupBy("key", "side").agg(F.max("n").alias("least"))
+    return docs.where(F.col("text").isNotNull()).select("text").mapInArrow(tidy(run), "key long, side string, n long").groupBy("key", "side").agg(F.max("n").alias("least"))
 
 
 def contexts(docs: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
@@ -246,7 +246,7 @@ def contexts(docs: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
         for key, side, other in _pairs(batches, wanted):
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), _sides(side), pa.array(other.view(np.int64))], ["key", "side", "other"])
 
-    pairs = docs.where(F.col("text").isNotNull()).select("text").mapInArrow(run, "key long, side string, other long")
+    pairs = docs.where(F.col("text").isNotNull()).select("text").mapInArrow(tidy(run), "key long, side string, other long")
     return pairs.distinct().groupBy("key", "side").agg(F.count("*").alias("plain"))
 
 
@@ -355,7 +355,7 @@ def _by_patterns(docs: DataFrame, kept: DataFrame) -> DataFrame:
                 columns[n_at] = pa.array([None if t is None else len(t) for t in texts], batch.schema[n_at].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def _by_findings(docs: DataFrame, kept: DataFrame) -> DataFrame:

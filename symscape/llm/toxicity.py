@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from symscape.llm.common import TOKEN, WORD, Words, chunks, texts_of
+from symscape.llm.common import TOKEN, WORD, Words, chunks, texts_of, tidy
 
 ORDER, DECAY = 3, np.float32(0.6)
 TOXIC, CLEAN, CHARACTERS = 1500, 2500, 20_000_000
@@ -420,7 +420,7 @@ def toxic_documents(docs: DataFrame, model: Model | None) -> DataFrame:
                 hit = np.flatnonzero(score > 0)
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in hit], pa.int64()), pa.array(score[hit]), pa.array([term[i] for i in hit], pa.string())], ["doc_id", "score", "term"])
 
-    return texts_of(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, columns)
+    return texts_of(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), columns)
 
 
 def without_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -436,4 +436,4 @@ def without_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
             score = np.concatenate([scorer(part)[0] for _, part in chunks(texts, texts)]) if texts else np.zeros(0)
             yield batch.filter(pa.array(score <= 0))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

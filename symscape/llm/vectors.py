@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symscape.llm.common import written
+from symscape.llm.common import tidy, written
 from symscape.llm.minhash import components
 
 THRESHOLD, SHARD, OVERLAP = 0.95, 2000, 2
@@ -165,7 +165,7 @@ def prepared(embeddings: DataFrame) -> DataFrame:
             v = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in v], pa.binary())], ["vec_id", "v"])
 
-    return full.mapInArrow(run, "vec_id long, v binary")
+    return full.mapInArrow(tidy(run), "vec_id long, v binary")
 
 
 def _array(column) -> np.ndarray:
@@ -219,7 +219,7 @@ def assigned(vectors: DataFrame, c: np.ndarray, overlap: int) -> DataFrame:
             row, k = np.nonzero(best >= 0)
             yield pa.RecordBatch.from_arrays([pa.array(best[row, k]), pa.array(k == 0), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], ["shard", "home", "vec_id", "v"])
 
-    return vectors.select("vec_id", "v").mapInArrow(run, "shard long, home boolean, vec_id long, v binary")
+    return vectors.select("vec_id", "v").mapInArrow(tidy(run), "shard long, home boolean, vec_id long, v binary")
 
 
 def _nearer(level: int, threshold: float):
@@ -324,7 +324,7 @@ def beyond(shards: DataFrame, near: DataFrame, links: DataFrame, vectors: DataFr
         ways = from_home.select("home", "b").distinct().join(lists, "b").where(~F.array_contains("shards", F.col("home"))).select("home", "b", "c").distinct()
         asked = from_home.join(ways, ["home", "b"]).select("a", F.col("c").alias("b")).where("a <> b").distinct().join(known, ["a", "b"], "left_anti")
         v = vectors.select(F.col("vec_id").alias("a"), F.col("v").alias("va")), vectors.select(F.col("vec_id").alias("b"), F.col("v").alias("vb"))
-        new = asked.join(v[0], "a").join(v[1], "b").select("a", "va", "b", "vb").mapInArrow(close, "a long, b long")
+        new = asked.join(v[0], "a").join(v[1], "b").select("a", "va", "b", "vb").mapInArrow(tidy(close), "a long, b long")
         new = written(new.union(new.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().join(known, ["a", "b"], "left_anti"), "fresh")
         if not new.count():
             return known
@@ -349,7 +349,7 @@ def audit(vectors: DataFrame, links: DataFrame, threshold: float = THRESHOLD, au
                 ok = (_exact(q, v, k, i) >= threshold) & (ids[k] != other[i])
                 yield pa.RecordBatch.from_arrays([pa.array(ids[k[ok]]), pa.array(other[i[ok]])], ["a", "b"])
 
-    truth = vectors.select("vec_id", "v").mapInArrow(run, "a long, b long").distinct()
+    truth = vectors.select("vec_id", "v").mapInArrow(tidy(run), "a long, b long").distinct()
     n, met = truth.join(links.select("a", "b", F.lit(1).alias("met")), ["a", "b"], "left").agg(F.count("*"), F.count("met")).first()
     return met / n if n else 1.0
 
