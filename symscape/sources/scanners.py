@@ -7,6 +7,8 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 
+from symscape.sources import web_code
+from symscape.sources.make_code import make  # noqa: F401 (one of the scanners)
 from symscape.sources.python_code import base, constant, signature, tight, unique
 
 _BLANKED = re.compile(r"/\*.*?\*/|//[^\n]*|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
@@ -207,6 +209,8 @@ def braces(text: str, lang: str) -> list[dict]:
                 continue
             receiver, before = (k[1] if lang == "go" else None), before[: k.start()]
         elif lang == "typescript":
+            if not inside and code.count("(", 0, m.start()) > code.count(")", 0, m.start()):
+                continue  # an argument, not a declaration
             if not (re.search(r"\bfunction\b\s*\*?\s*$", before) or inside and after and after["end"] in ("{", ";")):
                 continue
             if inside and not re.fullmatch(r"[\s\w@(),.'\"<>]*", before):
@@ -224,7 +228,8 @@ def braces(text: str, lang: str) -> list[dict]:
         inner = code[body + 1 : stop] if body is not None else ""
         parts = [parameter(p, lang) for p in split_top(code[at + 1 : close])]
         parts = [p for p in parts if p[1] not in ("self", "&self") and p[0] != "void"]
-        returns = (after["ret"] or "").strip() or None if after else None
+        stated = re.match(r"\s*(?:(?:async|throws|rethrows|const)\b\s*)*(?:->|:(?!:))\s*(?P<ret>[^{;=]+?)\s*(?=[{;=]|\bwhere\b|$)", code[close + 1 : body if body is not None else close + 400])
+        returns = tight(stated["ret"]) if stated else None
         if lang in ("java", "csharp", "c", "cpp"):
             kept = [w for w in re.sub(r"@\w+(\([^)]*\))?|\[[^\]]*\]", "", before).split() if w not in _MODIFIERS]
             returns = tight(" ".join(kept)) or None
@@ -240,11 +245,10 @@ def braces(text: str, lang: str) -> list[dict]:
             "size": line(stop) - line(body) + 1 if body is not None else 0, "_at": m.start(),
         })
     if lang == "typescript":
-        for m in re.finditer(r"(?m)^(?P<pre>(?:export\s+)?(?:default\s+)?)const\s+(?P<name>\w+)\s*(?::[^=\n]+)?=\s*(?:async\s*)?\((?P<params>[^()]*)\)\s*(?::\s*(?P<ret>[^=\n]+?))?\s*=>", code):
-            body = code.find("{", m.end()) if re.match(r"\s*\{", code[m.end() :]) else None
-            inner = code[body : curly.get(body, len(code))] if body is not None else code[m.end() : code.find("\n", m.end())]
-            parts = [parameter(p, lang) for p in split_top(m["params"])]
-            out.append({"name": m["name"], "kind": "fn", "line": line(m.start("name")), "params": [t for t, _ in parts], "param_names": [n for _, n in parts], "returns": m["ret"], "signature": signature(m["name"], [t for t, _ in parts], m["ret"]), "visibility": "pub" if "export" in m["pre"] else "priv", "calls": calls_in(inner, m["name"]), "bindings": bindings_of(parts, inner), "size": inner.count("\n") + 1, "_at": m.start()})
+        square = pairs(code, "[", "]")
+        given = lambda raw: [parameter(p, lang) for p in split_top(raw)]
+        within = lambda inner, name, parts: {"calls": calls_in(inner, name), "raises": raises_in(inner, ""), "bindings": bindings_of(parts, inner)}
+        out += web_code.top_level(text, code, line, round_, curly, square, given, within)
         for m in re.finditer(r"(?m)^(?:export\s+)type\s+(\w+)[^=\n]*=\s*([^;\n]+)", code):
             out.append({"name": m[1], "kind": "type", "line": line(m.start(1)), "signature": f"type {m[1]}={tight(m[2].strip())[:40]}", "_at": m.start()})
         for m in re.finditer(r"(?m)^export\s*\{([^}]*)\}\s*from", code):
@@ -252,6 +256,8 @@ def braces(text: str, lang: str) -> list[dict]:
     constants = {"java": r"static\s+final\s+[\w<>\[\], ]+\s+([A-Z][A-Z0-9_]*)\s*=\s*([^;\n]+);", "typescript": r"(?m)^(?:export\s+)?const\s+([A-Z][A-Z0-9_]*)\s*(?::[^=\n]+)?=\s*([^;\n]+)", "csharp": r"\b(?:const|static\s+readonly)\s+[\w<>]+\s+(\w+)\s*=\s*([^;\n]+);", "kotlin": r"\bconst\s+val\s+(\w+)[^=\n]*=\s*([^\n;]+)", "go": r"(?m)^const\s+(\w+)[^=\n]*=\s*([^\n]+)", "rust": r"\b(?:const|static)\s+([A-Z][A-Z0-9_]*)\s*:[^=;]+=\s*([^;\n]+);", "php": r"\bconst\s+(\w+)\s*=\s*([^;\n]+);", "swift": r"\bstatic\s+let\s+(\w+)[^=\n]*=\s*([^\n;]+)", "scala": r"\bval\s+([A-Z][A-Z0-9_]*)[^=\n]*=\s*([^\n;]+)"}.get(lang)
     for m in re.finditer(constants, code) if constants else ():
         value = text[m.start(2) : m.end(2)].strip()
+        if lang == "typescript" and (not re.match(r"-?[\d.]|[\"'`\[{]|(?:true|false)\b", value) or m[1] in {r["name"] for r in out}):
+            continue  # what a call makes is no constant
         scalar = re.fullmatch(r"-?[\d._]+\w?|\"[^\"]*\"|'[^']*'|true|false|null|nil", value)
         out.append({"name": m[1], "kind": "const", "line": line(m.start(1)), "signature": constant(m[1], value if scalar else None), "container": owner(m.start()) or None, "_at": m.start()})
     return [{k: v for k, v in r.items() if k != "_at"} for r in sorted(out, key=lambda r: r["_at"])]
@@ -350,39 +356,6 @@ def helm(text: str, path: str) -> list[dict]:
     return rows
 
 
-def make(text: str, path: str) -> list[dict]:
-    """Targets as methods of their file, prerequisites as calls, variables that callers may set as parameters."""
-    joined = re.sub(r"\\\n", "  ", text)
-    owner = path.split("/")[-1]
-    rows: list[dict] = [{"name": owner, "kind": "class", "line": 1, "signature": owner}]
-    settable = set(re.findall(r"(?m)^([A-Za-z_]\w*)\s*\?=", joined))
-    phony = {t for part in re.findall(r"(?m)^\.PHONY\s*:+\s*(.*)$", joined) for t in part.split()}
-    current: list[dict] = []
-    targets: dict[str, dict] = {}
-    for n, s in enumerate(joined.split("\n"), 1):
-        if s.startswith("\t"):
-            for r in current:
-                used = [v for v in re.findall(r"(?<!\$)\$[({](\w+)[)}]", s) if v in settable]
-                r["param_names"] = unique(r["param_names"] + used)
-                r["calls"] = unique(r["calls"] + re.findall(r"\$[({]MAKE[)}]\s+([\w.-]+)", s))
-                r["size"] += 1
-            continue
-        m = re.match(r"([^\s:=#.][^:=#]*?|\.[a-z][^:=#]*?)\s*::?(?!=)\s*([^#=;]*)(?:;|#|$)", s)
-        if not m:
-            current = current if not s.strip() or s.startswith("#") else []
-            continue
-        current = []
-        for t in m[1].split():
-            if "%" in t or "$" in t:
-                continue
-            row = targets.setdefault(t, {"name": t, "kind": "method", "line": n, "container": owner, "calls": [], "param_names": [], "size": 0, "visibility": "priv" if t.startswith("_") or (phony and t not in phony) else "pub"})
-            row["calls"] = unique(row["calls"] + [p for p in m[2].split() if p != "|" and "$" not in p])
-            current.append(row)
-    for r in targets.values():
-        r["params"], r["signature"] = ["?"] * len(r["param_names"]), f"{r['name']}({','.join(r['param_names'])})"
-    return rows + list(targets.values())
-
-
 def single_file(text: str, lang: str, path: str) -> list[dict]:
     """A component row, and what its scripts declare."""
     name = re.sub(r"\.[^.]+$", "", path.split("/")[-1])
