@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symscape.queries import query, table
-from symscape.sources import repository
+from symscape.sources import repository, samples
 
 
 def _files(spark, d, path: str, template: str) -> DataFrame:
@@ -37,17 +37,14 @@ def make_symbols(spark, d):
     return _files(spark, d, "r§.mk", _MAKE).select("name", "kind", "signature", "visibility", F.array_join("calls", ",").alias("calls"))
 
 
-_CODE = {
-    "java": ("J§.java", "package a;\npublic class J§ implements I§ {\n  public static final int MAX = 3;\n  private K§ k;\n  public int run(int x, String y) throws java.io.IOException { return k.go(x); }\n}\n", [("J§", "class", "class J§"), ("MAX", "const", "MAX=3"), ("run", "method", "run(int,String):int")]),
-    "go": ("g§.go", "package g\ntype T§ struct {}\nfunc (t *T§) Run(x int) int { return help§(x) }\nfunc help§(x int) int { return x }\n", [("T§", "class", "struct T§"), ("Run", "method", "Run(int):int"), ("help§", "fn", "help§(int):int")]),
-    "rust": ("r§.rs", "pub trait A§ {}\npub struct S§;\nimpl A§ for S§ {}\npub fn go§(x: i32) -> i32 { x }\n", [("A§", "interface", "trait A§"), ("S§", "class", "struct S§"), ("go§", "fn", "go§(i32):i32")]),
-}
+_ROWS = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in r) + ")" for r in samples.DECLARED)
 
 
-@query("SELECT lang, replace(name, '§', k) AS name, kind, replace(signature, '§', k) AS signature FROM (SELECT CAST(p_partkey AS VARCHAR) AS k FROM part), (VALUES " + ", ".join(f"('{lang}', '{n}', '{kind}', '{sig}')" for lang, (_, _, rows) in _CODE.items() for n, kind, sig in rows) + ") AS t (lang, name, kind, signature)")
+@query(f"SELECT 'n' || n_nationkey AS dir, t.* FROM nation, (VALUES {_ROWS}) AS t (lang, kind, name, signature, visibility, container, supers, calls)")
 def language_symbols(spark, d):
-    out = None
-    for path, text, _ in _CODE.values():
-        one = _files(spark, d, path, text).select("lang", "name", "kind", "signature")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """The sample sources of all languages, in a folder for each nation."""
+    texts = F.explode(F.create_map(*[F.lit(x) for path, text in samples.TEXTS.values() for x in (path, text)])).alias("path", "raw")
+    nations = table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("dir"), texts)
+    rows = repository.symbols(repository.files_of(nations.select(F.concat_ws("/", "dir", "path").alias("path"), F.col("raw").cast("binary").alias("raw"))))
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return rows.select(F.element_at(F.split("file", "/"), 1).alias("dir"), "lang", "kind", "name", "signature", "visibility", F.coalesce("container", F.lit("")).alias("container"), joined("supers"), joined("calls"))

@@ -12,7 +12,7 @@ from symscape.sources.make_code import make  # noqa: F401 (one of the scanners)
 from symscape.sources.python_code import base, constant, signature, tight, unique
 
 _BLANKED = re.compile(r"/\*.*?\*/|//[^\n]*|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
-_NOT_CALLS = set("if for while switch catch return sizeof typeof match when using lock fixed synchronized super function func fn fun def foreach elseif assert await yield throw throws in not and or unless until guard defer go select case".split())
+_NOT_CALLS = set("if for while switch catch return sizeof typeof match when using lock fixed synchronized super function func fn fun def foreach elseif assert await yield throw throws in not and or unless until case".split())
 _MODIFIERS = set("public private protected internal static final abstract sealed open override virtual async export default readonly const inline extern unsafe partial native synchronized suspend lateinit data case implicit lazy mut pub mutating fileprivate required convenience explicit constexpr noexcept friend template typename non-sealed final operator".split())
 
 #: language -> (keywords of types by kind, keyword of callables or None where a type stands before the name)
@@ -29,6 +29,13 @@ TYPES = {
     "c": {"struct": "class", "enum": "enum", "union": "class"},
     "cpp": {"class": "class", "struct": "class", "enum": "enum", "namespace": "", "extern": ""},
 }
+#: Fields in the body of a type, n their name and t their type, once the bodies in it are gone.
+_FIELDS = {
+    "rust": r"(?:^|[,{\n])\s*(?:pub(?:\([^)]*\))?\s+)?(?P<n>[a-z_]\w*)\s*:(?!:)\s*(?P<t>(?:[^,<\n]|<[^>\n]*>)+)",
+    "go": r"(?m)(?:^|;)\s*(?P<n>[A-Za-z_]\w*)\s+(?P<t>[\w.*\[\]]+)",
+    "c": r"(?P<t>\w[\w\s]*?[\s*]+)(?P<n>\w+)(?:\[[^\]]*\])?\s*;",
+    "swift": r"\b(?:let|var)\s+(?P<n>\w+)\s*:\s*(?P<t>[^;=\n{]+)",
+}
 KEYWORD = {"kotlin": "fun", "scala": "def", "swift": "func", "php": "function", "rust": "fn", "go": "func"}
 TRANSPARENT = re.compile(r"\b(namespace|mod|extern|package|impl|companion\s+object)\b[^;{}]*$")
 
@@ -70,7 +77,7 @@ def parameter(raw: str, lang: str) -> tuple[str, str]:
         return (tight(" ".join(words[1:])), words[0]) if len(words) > 1 else ("?", words[0] if words else "")
     if lang == "php":
         name = next((w for w in words if "$" in w), "")
-        return tight(" ".join(w for w in words if w != name)) or "?", name.lstrip("&.$")
+        return tight(" ".join(w for w in words if w != name and w not in ("private", "public", "protected", "readonly"))) or "?", name.lstrip("&.$")
     return (tight(" ".join(words[:-1])), words[-1].lstrip("&*")) if len(words) > 1 else (tight(" ".join(words)) or "?", "")
 
 
@@ -125,6 +132,7 @@ def braces(text: str, lang: str) -> list[dict]:
     line = lambda i: bisect_right(lines, i - 1) + 1
     curly, round_ = pairs(code, "{", "}"), pairs(code, "(", ")")
     keywords = TYPES[lang]
+    open_to_all: set[str] = set()  # types whose members are public unless they say otherwise
     types: list[tuple[int, int, str]] = []  # body of each type with its name; "" is looked through
     out: list[dict] = []
 
@@ -146,8 +154,10 @@ def braces(text: str, lang: str) -> list[dict]:
     for m in re.finditer(pattern, code):
         stop = re.compile(r"[{;]").search(code, m.end())
         name, body = m["name"].split(".")[-1], stop.start() if stop and stop[0] == "{" else None
-        if m["key"] == "case" or body is None and lang in ("c", "cpp", "go"):
+        if m["key"] == "case" or body is None and lang in ("c", "cpp", "go") or lang in ("c", "cpp") and re.search(r"[()=*&]", code[m.end() : body]):
             continue
+        if name in ("class", "struct"):  # enum class E
+            name = re.match(r"\s*(\w*)", code[m.end() :])[1]
         end = curly.get(body, len(code)) if body is not None else m.end()
         kind = keywords[m["key"]]
         start = max(code.rfind(c, 0, m.start()) for c in ";{}") + 1
@@ -175,10 +185,28 @@ def braces(text: str, lang: str) -> list[dict]:
             row |= {"params": [t for t, _ in parts], "fields": [n for _, n in parts]}
         if kind == "enum":
             row["params"] = [x for x in (re.match(r"\s*(?:case\s+)?([A-Za-z_]\w*)", p) and re.match(r"\s*(?:case\s+)?([A-Za-z_]\w*)", p)[1] for p in split_top(inside.split(";")[0])) if x]
+        if kind in ("class", "record") and not row.get("fields") and lang in _FIELDS:
+            flat = re.sub(r"\{[^{}]*\}", "", inside)
+            parts = [(m2["n"], tight(m2["t"].strip())) for m2 in re.finditer(_FIELDS[lang], flat)]
+            row |= {"fields": [n for n, _ in parts], "params": [t for _, t in parts]}
+        if kind == "interface":
+            open_to_all.add(name)
         if body is not None:
             types.append((body, end, name))
         out.append(row | {"kind": kind, "_at": m.start()})
 
+    def shown(at: int, before: str, name: str, container: str | None) -> str:
+        if lang == "cpp" and container:
+            body = next((b for b, e, n in types if n == container and b < at < e), None)
+            if body is None:
+                return "pub"
+            labels = re.findall(r"\b(public|private|protected)\s*:(?!:)", code[body:at])
+            struct = re.search(r"\bstruct\b[^;{}]*$", code[:body])
+            return "pub" if (labels[-1] == "public" if labels else struct) else "priv"
+        if container in open_to_all and "private" not in before.split():
+            return "pub"
+        return visible(before, name, bool(container))
+
     def owner(at: int) -> str | None:
         """The type right around a place, "" at the top, None within anything else."""
         around = [(a, b) for a, b in curly.items() if a < at < b]
@@ -200,11 +228,21 @@ def braces(text: str, lang: str) -> list[dict]:
             continue
         start = max(code.rfind(c, 0, m.start()) for c in ";{}") + 1
         before = code[start : m.start()]
+        qualifier = None
+        if lang == "cpp":
+            before = re.sub(r"\b(?:public|private|protected)\s*:(?!:)", "", re.sub(r"\btemplate\s*<[^>]*>", "", before))
+            q = re.search(r"(?:(\w+)(?:<[^<>]*>)?::)+~?$", before)
+            if q:
+                qualifier, before = q[1], before[: q.start()]
+        if re.search(r"\[\s*$", before) or before.split()[-1:] and before.split()[-1] in keywords:
+            continue  # an attribute, or the head of a type
         after = re.match(r"\s*(?:throws\s+(?P<throws>[\w.,\s]+?)(?=\s*[{;])|(?:->|:|=>)?\s*(?P<ret>[\w.<>\[\],?&*:| ()]*?)|const|noexcept|override|\s)*\s*(?P<end>=>|[{;=]|$)", code[close + 1 : close + 400])
         word = KEYWORD.get(lang)
         receiver = None
         if word:
-            k = re.search(rf"\b{word}\b\s*(?:\(\s*\w*\s*\*?\s*(\w+)[^)]*\)\s*)?$", before) if lang == "go" else re.search(rf"\b{word}\b\s*(?:<[^>]*>\s*)?(?:\w+\.)?&?\s*$", before)
+            if inside and (lang, name) in (("swift", "init"), ("kotlin", "constructor")):
+                word = ""
+            k = re.search(r"$", before) if not word else re.search(rf"\b{word}\b\s*(?:\(\s*\w*\s*\*?\s*(\w+)[^)]*\)\s*)?$", before) if lang == "go" else re.search(rf"\b{word}\b\s*(?:<[^>]*>\s*)?(?:\w+\.)?&?\s*$", before)
             if not k:
                 continue
             receiver, before = (k[1] if lang == "go" else None), before[: k.start()]
@@ -226,21 +264,24 @@ def braces(text: str, lang: str) -> list[dict]:
         body = close + 1 + after.start("end") if ends == "{" else None
         stop = curly.get(body, len(code)) if body is not None else None
         inner = code[body + 1 : stop] if body is not None else ""
+        if ends == "=" and lang in ("kotlin", "scala"):  # a body that is one expression
+            at_end = code.find("\n", close)
+            inner = code[close + 1 + after.end("end") : at_end if at_end >= 0 else len(code)]
         parts = [parameter(p, lang) for p in split_top(code[at + 1 : close])]
         parts = [p for p in parts if p[1] not in ("self", "&self") and p[0] != "void"]
-        stated = re.match(r"\s*(?:(?:async|throws|rethrows|const)\b\s*)*(?:->|:(?!:))\s*(?P<ret>[^{;=]+?)\s*(?=[{;=]|\bwhere\b|$)", code[close + 1 : body if body is not None else close + 400])
+        stated = re.match(r"\s*(?:(?:async|throws|rethrows|const)\b\s*)*(?:->|:(?!:))\s*(?P<ret>[^{};=\n]+?)\s*(?=[{};=\n]|\bwhere\b|$)", code[close + 1 : body if body is not None else close + 400])
         returns = tight(stated["ret"]) if stated else None
         if lang in ("java", "csharp", "c", "cpp"):
             kept = [w for w in re.sub(r"@\w+(\([^)]*\))?|\[[^\]]*\]", "", before).split() if w not in _MODIFIERS]
             returns = tight(" ".join(kept)) or None
         elif lang == "go":
             returns = code[close + 1 : body].strip() or None if body is not None else returns
-        notes, _ = decorators_before(re.sub(r"(?:\b(?:%s)\b\s*|[\w<>\[\],.?]+\s+)*$" % "|".join(map(re.escape, _MODIFIERS)), "", text[start : m.start()]), len(text)) if lang not in ("go", "c") else ([], 0)
-        container = receiver or inside or None
-        made = name in ("constructor", "__construct", "init") or container and name == container
+        notes, _ = decorators_before(re.sub(r"(?:(?<![@\w])(?:%s)\b\s*|(?<![@\w])[\w<>,.?]+(?:\[\])*\s+)*$" % "|".join(map(re.escape, _MODIFIERS)), "", text[start : m.start()]), len(text)) if lang not in ("go", "c") else ([], 0)
+        container = receiver or qualifier or inside or None
+        made = name in ("constructor", "__construct", "init") or container and name.lstrip("~") == container
         out.append({
             "name": name, "kind": "ctor" if made and container else "method" if container else "fn", "line": line(m.start()), "params": [t for t, _ in parts], "param_names": [n for _, n in parts], "returns": None if made else returns,
-            "signature": signature(name, [t for t, _ in parts], None if made else returns), "visibility": visible(before, name, bool(container)), "container": container,
+            "signature": signature(name, [t for t, _ in parts], None if made else returns), "visibility": shown(m.start(), before, name, container), "container": container,
             "calls": calls_in(inner, name), "raises": raises_in(inner, (after and after["throws"]) or ""), "bindings": bindings_of(parts, inner), "decorators": notes,
             "size": line(stop) - line(body) + 1 if body is not None else 0, "_at": m.start(),
         })
@@ -286,6 +327,7 @@ def ruby(text: str) -> list[dict]:
             indent = len(raw) - len(raw.lstrip())
             if stack and stack[-1][1] == indent:
                 stack.pop()
+                private = False
             for r in out:
                 if r.get("_indent") == indent:
                     r["size"] = n - r["line"] + 1
