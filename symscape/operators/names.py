@@ -144,11 +144,11 @@ def descriptions(df: DataFrame, name: str, owner: str, file: str, key: list[str]
     return df.join(chosen, key)
 
 
-def contained_terms(texts: DataFrame, id_column: str, text: str, terms: DataFrame, term_id: str, term: str, term_bytes: int = TERM_BYTES) -> DataFrame:
-    """(id, term id) wherever a text holds a term, whatever the case: one pass of an automaton over each text for every TERM_BYTES of terms. No shuffle.
+def contained_terms(texts: DataFrame, id_column: str, text: str, terms: DataFrame, term_id: str, term: str, term_bytes: int = TERM_BYTES, fold=F.lower) -> DataFrame:
+    """(id, term id) wherever a text holds a term, whatever the case (what fold makes alike): one pass of an automaton over each text for every TERM_BYTES of terms. No shuffle.
 
     The terms must fit the driver; null and empty ones are never found."""
-    rows = [(r[0], r[1]) for r in terms.select(term_id, F.lower(term)).where(F.length(term) > 0).collect()]
+    rows = [(r[0], r[1]) for r in terms.select(term_id, fold(F.col(term))).where(F.length(term) > 0).collect()]
     packs: list[list[tuple]] = [[]]
     size = 0
     for r in sorted(rows, key=lambda r: (r[1], r[0])):
@@ -159,7 +159,7 @@ def contained_terms(texts: DataFrame, id_column: str, text: str, terms: DataFram
         size += len(r[1].encode())
     kind = pa.string() if dict(terms.dtypes)[term_id] == "string" else pa.int64() if dict(terms.dtypes)[term_id] == "bigint" else pa.int32()
     schema = f"{id_column} {dict(texts.dtypes)[id_column]}, {term_id} {dict(terms.dtypes)[term_id]}"
-    lower = texts.where(F.col(text).isNotNull()).select(id_column, F.lower(text).alias("__t"))
+    lower = texts.where(F.col(text).isNotNull()).select(id_column, fold(F.col(text)).alias("__t"))
 
     def search(pack):
         def run(batches):

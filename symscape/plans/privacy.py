@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +32,12 @@ def deny_terms(lines: DataFrame) -> DataFrame:
     return kept.agg(numbered.alias("t")).select(F.explode("t").alias("t")).select("t.*")  # a list of terms is short
 
 
-def _found(rows: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
-    return names.contained_terms(rows.select(key, text), key, text, terms.select("entry", "term"), "entry", "term")
+def _ascii_lower(c: Column) -> Column:
+    return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
+
+
+def _found(rows: DataFrame, key: str, text: str, terms: DataFrame, fold=F.lower) -> DataFrame:
+    return names.contained_terms(rows.select(key, text), key, text, terms.select("entry", "term"), "entry", "term", fold=fold)
 
 
 def _plain(raw: Column) -> Column:
@@ -53,7 +59,7 @@ def safe_labels(rows: DataFrame, label: str, terms: DataFrame) -> DataFrame:
 def in_payloads(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """(message) wherever a payload (label, raw) holds a term, whatever the case of ASCII letters; bytes are compared one by one."""
     text = safe_labels(rows.where("raw IS NOT NULL"), "label", terms).select("label", _plain(F.col("raw")).alias("payload"))
-    return _found(text, "label", "payload", bytewise(terms)).select(F.concat("label", F.lit(": matches protected denylist entry "), F.col("entry").cast("string")).alias("message"))
+    return _found(text, "label", "payload", bytewise(terms), _ascii_lower).select(F.concat("label", F.lit(": matches protected denylist entry "), F.col("entry").cast("string")).alias("message"))
 
 
 def in_names(rows: DataFrame, terms: DataFrame) -> DataFrame:
