@@ -39,12 +39,33 @@ def round_robin(df: DataFrame, tier: Column, group: Column, order: list[Column])
     return df.withColumns({"tier": tier, "__group": group}).withColumn("turn", F.row_number().over(w).cast("long")).drop("__group")
 
 
+def medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, median, n): exact medians of the values that aren't null, as doubles; for a few large groups.
+
+    A sketch tells between which two values the middle lies; all below are only counted, and just the distinct values between, with their
+    numbers, are put in order. So no task holds a group, however large or uneven."""
+    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__x"))
+    near = known.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("__x", F.array(F.lit(0.49), F.lit(0.51)), F.lit(1000)).alias("q"))
+    on = reduce(lambda x, y: x & y, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], F.lit(True))
+    both = known.alias("a").join(near.alias("b"), on).where(F.col("__x") <= F.col("q")[1])
+    counts = both.groupBy(*[F.col(f"a.{k}").alias(k) for k in keys], F.when(F.col("__x") >= F.col("q")[0], F.col("__x")).alias("__v")).agg(F.count("*").alias("__c"), F.first("n").alias("n"))
+    upto = F.sum("__c").over(Window.partitionBy(*keys).orderBy(F.asc_nulls_first("__v")).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumn("__upto", upto)
+    # The middle places, from 0: (n - 1) / 2 and n / 2, rounded down.
+    at = lambda place: F.min(F.when(F.col("__upto") > place, F.col("__v")))
+    low, high = at(F.floor((F.col("n") - 1) / 2)), at(F.floor(F.col("n") / 2))
+    return placed.groupBy(*keys).agg(((low + high) / 2).alias("median"), F.first("n").alias("n"))
+
+
 def median_mad(df: DataFrame, keys: list[str], value: str, digits: int = 6) -> DataFrame:
     """Exact median and median absolute deviation of the values that aren't null, with their number."""
+    centre = medians(df, keys, value)
     known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__x"))
-    centre = known.groupBy(*keys).agg(F.median("__x").alias("median"), F.count("*").alias("n"))
-    spread = known.join(centre, keys).groupBy(*keys).agg(F.median(F.abs(F.col("__x") - F.col("median"))).alias("mad"))
-    return centre.join(spread, keys).select(*keys, "n", F.round("median", digits).alias("median"), F.round("mad", digits).alias("mad"))
+    on = reduce(lambda x, y: x & y, [F.col(f"k.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys], F.lit(True))
+    apart = known.alias("k").join(centre.alias("c"), on).select(*[F.col(f"k.{k}").alias(k) for k in keys], F.abs(F.col("__x") - F.col("median")).alias("__d"))
+    spread = medians(apart, keys, "__d").select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("median").alias("mad"))
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], F.lit(True))
+    return centre.join(spread, same).select(*keys, "n", F.round("median", digits).alias("median"), F.round("mad", digits).alias("mad"))
 
 
 def percent(flag: Column, applies: Column, digits: int = 4) -> tuple[Column, Column]:

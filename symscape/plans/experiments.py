@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from symscape.operators import names
+from symscape.operators import names, stats
 from symscape.schemas import RUNS
 
 GROUP = ("condition", "kind", "model", "effort", "experiment_id")
@@ -48,8 +48,7 @@ def summary(runs: DataFrame) -> DataFrame:
     counts = cells.groupBy(*keys).agg(F.count_if(F.col("reason").isNull()).alias("valid"), F.count("reason").alias("invalid"), *[x for k, h in held.items() for x in (F.round(F.avg(h), 4).alias(f"{k}_percent"), F.count(h).alias(f"{k}_n"))])
     # Metrics as rows: one plan for all of them, however many there are.
     long = cells.where("reason IS NULL").select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in METRICS])).alias("m")).select(*keys, "m.*").where("x IS NOT NULL")
-    centre = long.groupBy(*keys, "metric").agg(F.median("x").alias("median"), F.count("*").alias("n"))
-    spread = long.join(centre, [*keys, "metric"]).groupBy(*keys, "metric").agg(F.median(F.abs(F.col("x") - F.col("median"))).alias("mad"), F.first("median").alias("median"), F.first("n").alias("n"))
+    spread = stats.median_mad(long, [*keys, "metric"], "x", 12)
     metrics = spread.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", F.struct("median", "mad", "n"))))).alias("metrics"))
     return counts.join(metrics, keys, "left")
 
