@@ -66,3 +66,9 @@ def test_verdicts(spark):
     rows = [(k, f"password={key}", "en", f"owner{k}", 0) for k in range(4)] + [(10, "token: 'Qq1Ww2Ee3Rr4Tt5Yy6'", "en", "o", 0), (11, "secret = 'aaaaaaaaaaaaaaaaaaaa'", "en", "o", 0)]
     got = {r.doc_id: r.verdict for r in secrets.scan(spark.createDataFrame(rows, made.DOCS)).collect()}
     assert got == {0: "example", 1: "example", 2: "example", 3: "example", 10: "live", 11: "placeholder"}
+
+
+def test_batches_are_as_many_as_their_sequences_fill(spark):
+    docs = spark.createDataFrame([(1, "a " * 13, "en", "x", 0), (2, "b " * 9, "en", "x", 0)], made.DOCS)
+    got = {r.bucket: (r.sequences, r.batches) for r in packing.batches(packing.pieces(docs, max_bits=3), tokens=8).collect()}
+    assert got == {3: (2, 2), 2: (1, 1), 0: (2, 1)}
