@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from symscape.storage import written
+
 #: Bytes of terms that are sent to all tasks as one automaton; more are looked for in several passes over the texts.
 TERM_BYTES = 32 << 20
 
@@ -147,16 +149,8 @@ def descriptions(df: DataFrame, name: str, owner: str, file: str, key: list[str]
 def contained_terms(texts: DataFrame, id_column: str, text: str, terms: DataFrame, term_id: str, term: str, term_bytes: int = TERM_BYTES, fold=F.lower) -> DataFrame:
     """(id, term id) wherever a text holds a term, whatever the case (what fold makes alike): one pass of an automaton over each text for every TERM_BYTES of terms. No shuffle.
 
-    The terms must fit the driver; null and empty ones are never found."""
-    rows = [(r[0], r[1]) for r in terms.select(term_id, fold(F.col(term))).where(F.length(term) > 0).collect()]
-    packs: list[list[tuple]] = [[]]
-    size = 0
-    for r in sorted(rows, key=lambda r: (r[1], r[0])):
-        if size > term_bytes:
-            packs.append([])
-            size = 0
-        packs[-1].append(r)
-        size += len(r[1].encode())
+    The driver holds one pass's terms at a time; where one pass is not enough, each one's findings are written. Null and empty terms are never found."""
+    rows = ((r[0], r[1]) for r in terms.select(term_id, fold(F.col(term))).where(F.length(term) > 0).toLocalIterator())
     kind = pa.string() if dict(terms.dtypes)[term_id] == "string" else pa.int64() if dict(terms.dtypes)[term_id] == "bigint" else pa.int32()
     schema = f"{id_column} {dict(texts.dtypes)[id_column]}, {term_id} {dict(terms.dtypes)[term_id]}"
     lower = texts.where(F.col(text).isNotNull()).select(id_column, fold(F.col(text)).alias("__t"))
@@ -178,7 +172,22 @@ def contained_terms(texts: DataFrame, id_column: str, text: str, terms: DataFram
 
         return lower.mapInArrow(run, schema)
 
-    out = search(packs[0])
-    for pack in packs[1:]:
-        out = out.union(search(pack))
+    def packs():
+        pack, size = [], 0
+        for r in rows:
+            pack.append(r)
+            size += len(r[1].encode())
+            if size > term_bytes:
+                yield pack
+                pack, size = [], 0
+        yield pack
+
+    listed = packs()
+    first, second = next(listed), next(listed, None)
+    if not second:
+        return search(first)
+    out = written(search(first), "found").union(written(search(second), "found"))
+    for pack in listed:
+        if pack:
+            out = out.union(written(search(pack), "found"))
     return out

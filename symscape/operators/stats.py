@@ -26,11 +26,15 @@ def _extreme(df: DataFrame, keys: list[str], order: list[str], pick) -> DataFram
     return one.select(*keys, "__row.*").select(*df.columns)
 
 
+def _same(a: str, b: str, keys: list[str]) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys], F.lit(True))
+
+
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
-    """The first n rows of each group with their rank, and how many rows of the group are left out."""
-    w = Window.partitionBy(*keys)
-    ranked = df.withColumn("rank", F.row_number().over(w.orderBy(*order)).cast("long")).withColumn("omitted", F.greatest(F.count(F.lit(1)).over(w) - n, F.lit(0)))
-    return ranked.where(F.col("rank") <= n)
+    """The first n rows of each group with their rank, and how many rows of the group are left out. Each task keeps n rows of a group before they are shuffled; numbers of rows come from an aggregation of their own."""
+    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")).where(F.col("rank") <= n)
+    totals = df.groupBy(*keys).agg(F.count("*").alias("__n"))
+    return ranked.alias("r").join(totals.alias("t"), _same("r", "t", keys)).select("r.*", F.greatest(F.col("t.__n") - n, F.lit(0)).alias("omitted"))
 
 
 def round_robin(df: DataFrame, tier: Column, group: Column, order: list[Column]) -> DataFrame:
@@ -126,9 +130,13 @@ def canonical(df: DataFrame, keys: list[str], shape: list[str], better: list[Col
 
 
 def prefix_within(df: DataFrame, keys: list[str], order: list[Column], size: str, budget: int) -> DataFrame:
-    """The rows of each group, in order, as long as their sizes together stay within the budget. Adds used."""
+    """The rows of each group, in order, as long as their sizes, none below 0, together stay within the budget. Adds used.
+
+    A group is first cut down in parts: what comes too late in a part of it comes too late in the whole, so that the last step has few rows of even the largest group."""
+    part = Window.partitionBy(*keys, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    few = df.withColumn("__part", F.spark_partition_id()).withColumn("__own", F.sum(size).over(part)).where(F.col("__own") <= budget).drop("__part", "__own")
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("used", F.sum(size).over(w)).where(F.col("used") <= budget)
+    return few.withColumn("used", F.sum(size).over(w)).where(F.col("used") <= budget)
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from symscape import code_queries  # noqa: F401
+from symscape import code_queries, document_queries, member_queries, source_queries, trial_queries  # noqa: F401
 from symscape.queries import QUERIES, SQL
 
 D = "/root/testdata/sf0.001"
