@@ -11,7 +11,7 @@ from symscape.functions import paths, text
 from symscape.operators import code, names
 from symscape.schemas import CALLABLE_KINDS, TYPE_KINDS
 
-_FIXTURES = "fixture beforeeach beforeall beforeclass beforemethod beforesuite beforetest before registerextension rule classrule testfixture onetimesetup setupfixture".split()
+_FIXTURES = "before beforeall beforeclass beforeeach beforemethod beforesuite beforetest classrule fixture onetimesetup registerextension rule setupfixture testfixture".split()
 MOST_VARIANTS = 3
 
 

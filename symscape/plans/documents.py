@@ -13,8 +13,8 @@ from symscape.functions import text
 from symscape.plans.maps import END, START
 
 #: Documents that are taken where they exist, and folders of rules that get a file of ours; the first is made where there is none.
-FILES = tuple("CLAUDE.md AGENTS.md AGENT.md GEMINI.md QWEN.md CONVENTIONS.md .clinerules .cursorrules .windsurfrules .roorules .rules .github/copilot-instructions.md".split())
-FOLDERS = {".clinerules": "map.md", ".cursor/rules": "map.mdc", ".roo/rules": "map.md", ".windsurf/rules": "map.md", ".github/instructions": "map.instructions.md", ".junie": "guidelines.md", ".continue/rules": "map.md", ".kiro/steering": "map.md"}
+FILES = tuple("CLAUDE.md .clinerules .cursorrules .github/copilot-instructions.md .roorules .rules .windsurfrules AGENT.md AGENTS.md CONVENTIONS.md GEMINI.md QWEN.md".split())
+FOLDERS = {".clinerules": "map.md", ".continue/rules": "map.md", ".cursor/rules": "map.mdc", ".github/instructions": "map.instructions.md", ".junie": "guidelines.md", ".kiro/steering": "map.md", ".roo/rules": "map.md", ".windsurf/rules": "map.md"}
 #: Front matter of new rule files: whole ends of paths count before suffixes.
 SEEDS = {".continue/rules/map.md": "---\nname: project map\nalwaysApply: true\n---\n", ".mdc": "---\ndescription: project map\nalwaysApply: true\n---\n", ".instructions.md": "---\napplyTo: '**'\n---\n"}
 NOTE = "Project map: files, signatures, fields and calls. Read it before searching the sources; line 2 explains its signs."
