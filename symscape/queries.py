@@ -265,7 +265,10 @@ def path_trie(spark, d):
     return graph.path_prefixes(table(spark, d, "pages"), "url")
 
 
-@query()
+@query("""WITH p AS (SELECT string_split(url, '/') AS p FROM pages WHERE url IS NOT NULL), x AS (SELECT p, unnest(range(1, len(p) + 1)) AS k FROM p),
+n AS (SELECT array_to_string(p[1:k], '/') AS node, k AS depth, any_value(p[1:k]) AS q, count(DISTINCT p[k + 1]) AS children, bool_or(len(p) = k) AS ends FROM x GROUP BY 1, 2), kept AS (SELECT * FROM n WHERE children <> 1 OR ends),
+a AS (SELECT kept.node, kept.depth, kept.q, coalesce(max(o.depth), 0) AS k FROM kept LEFT JOIN kept o ON o.depth < kept.depth AND array_to_string(kept.q[1:o.depth], '/') = o.node GROUP BY 1, 2, 3)
+SELECT node, array_to_string(q[k + 1:depth], '/') AS label, CAST(depth AS BIGINT) AS depth FROM a""")
 def path_compression(spark, d):
     return graph.compressed_trie(table(spark, d, "pages"), "url")
 
