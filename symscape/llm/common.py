@@ -62,17 +62,39 @@ def tidy(run):
         try:
             yield from run(small(batches))
         finally:
-            _power_tables(0)
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):  # another C library keeps its memory
-                pass
+            _give_back()
 
     return whole
 
 
+def _give_back() -> None:
+    _power_tables(0)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its memory
+        pass
+
+
+def released(run):
+    """run for applyInArrow on groups or pairs of groups, with memory given back after each group."""
+
+    def of_group(key, table):
+        try:
+            return run(key, table)
+        finally:
+            _give_back()
+
+    def of_pair(key, left, right):
+        try:
+            return run(key, left, right)
+        finally:
+            _give_back()
+
+    return of_pair if run.__code__.co_argcount == 3 else of_group
+
+
 # --- words of many texts at once, as 64-bit polynomial hashes
 
 _R = np.uint64(0x9E3779B97F4A7C15)

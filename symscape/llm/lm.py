@@ -1,18 +1,21 @@
 """Operator 2, log-likelihood of whole documents under a gated recurrent language model.
 
 Words are runs of letters and digits in lower case. All of the corpus are counted, and all belong to the vocabulary: as many as the root
-of the number of distinct ones, the most frequent (ties by hash), have vectors of their own; every other word w of the corpus is a member
-of one more class, with the probability n(w) / n(class) in it, by its exact count. So both what is learnt and what is counted grow with
-the corpus. The model is a minimal gated unit of HIDDEN cells: f = s(X[w] + hU), c = tanh(X'[w] + f * hU'), h = h + f(c - h). The output
+of the number of distinct ones, the most frequent (ties by hash), have vectors in the dense part, of which each task has a copy; every other
+word w of the corpus is a member of one more class, is told apart in it by a tree of words and has vectors of its own, too (own.py). A task
+gets and returns the rows of just the words and nodes that its documents use. Before something is learnt, w has the probability
+n(w) / n(class) in its class, by its exact count; train() and scored() are this model without own vectors, and score() is the whole. So
+both what is learnt and what is counted grow with the corpus. The model is a minimal gated unit of HIDDEN cells: f = s(X[w] + hU), c = tanh(X'[w] + f * hU'), h = h + f(c - h). The output
 softmax is factored: first a class, then a word in it; the classes of words with vectors are runs of them with like sums of root
 frequencies, half as many as the root of their number.
 
-Training goes once over all documents, in ROUNDS parts by the hash of their text: in each round every task trains a copy of the model so
+Training goes once over all documents, in ROUNDS rounds by the hash of their text: in each round every task trains a copy of the model so
 far by backpropagation truncated to WINDOW words (Adam), and the copies are averaged by their numbers of words, by a tree of sums of
-FAN copies at most. Documents lie one after another in parallel streams; the state is zero where one begins and is carried from window to
+FAN copies at most; own vectors are averaged by their uses, over the copies that used them. They travel as 16-bit floats. In score() a
+copy has about TOGETHER words. Documents lie one after another in parallel streams; the state is zero where one begins and is carried from window to
 window, in training and in scoring, so that a likelihood is that of the complete document.
 
-Counts of the LOOKED_UP most frequent words are sent to all tasks; occurrences of rarer ones are joined with the table of counts, with
+In scored(), counts of the LOOKED_UP most frequent words are sent to all tasks; occurrences of rarer ones are joined with the table of counts, with
 the same result. The model depends on how the table is split into tasks, but not on the order in which they run or whether one runs again.
 
 Defined results: a null or empty text, and one without a word, has n_words 0, log_likelihood 0 and a null perplexity; repeated rows are
@@ -23,19 +26,22 @@ a word that the counted corpus hasn't counts as occurring once. Only doc_id and
 from __future__ import annotations
 
 import heapq
+from contextlib import contextmanager
+from functools import reduce
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from symscape.llm.common import Words, chunks, tidy, written
+from symscape.llm.common import Words, chunks, drop, released, tidy, written
+from symscape.llm.own import Own, Tree, summed
 
 HIDDEN, WINDOW, ROUNDS = 16, 32, 2
 RATE, STREAMS = 6e-3, 256
-#: Words with vectors at most, whatever the corpus: 200 bytes each in every task; and words of which tasks get the counts: 12 bytes each.
+#: Words in the dense part at most, whatever the corpus (the others have their vectors in tables): 200 bytes each in every task; and words of which tasks get the counts: 12 bytes each.
 VECTORS, LOOKED_UP = 1 << 18, 1_000_000
 #: Words that are trained on or scored together, and distinct words that a task counts before it hands them on.
 TOGETHER, DISTINCT = 4_000_000, 1_000_000
@@ -188,10 +194,10 @@ class Layout:
         self.ids, self.before, self.keep, self.live = (x.reshape(steps, b) for x in (self.ids, self.before, self.keep, self.live))
 
 
-def forward(p: dict[str, np.ndarray], before: np.ndarray, keep: np.ndarray, h: np.ndarray):
-    """States after each step of a window, the last one, and what backward() needs."""
+def forward(p: dict[str, np.ndarray], before: np.ndarray, keep: np.ndarray, h: np.ndarray, x: np.ndarray | None = None):
+    """States after each step of a window, the last one, and what backward() needs. x: the inputs, if they aren't just those of p."""
     k = h.shape[1]
-    x = p["x"][before]
+    x = p["x"][before] if x is None else x
     states = np.empty((len(before), *h.shape), np.float32)
     saved = []
     for t in range(len(before)):
@@ -262,8 +268,8 @@ def output(p: dict[str, np.ndarray], bounds: np.ndarray, class_of: np.ndarray, s
     return ll, back
 
 
-def backward(p: dict[str, np.ndarray], before: np.ndarray, keep: np.ndarray, saved: list, back: np.ndarray, grads: dict[str, np.ndarray]) -> None:
-    """Adds the gradients of a window, through all its steps."""
+def backward(p: dict[str, np.ndarray], before: np.ndarray, keep: np.ndarray, saved: list, back: np.ndarray, grads: dict[str, np.ndarray]) -> np.ndarray:
+    """Adds the gradients of a window, through all its steps, and returns those with respect to the inputs."""
     steps, b, k = back.shape
     da, dx = np.empty((steps, b, 2 * k), np.float32), np.empty((steps, b, 2 * k), np.float32)
     ut = np.ascontiguousarray(p["u"].T)
@@ -286,6 +292,24 @@ def backward(p: dict[str, np.ndarray], before: np.ndarray, keep: np.ndarray, sav
     order = np.argsort(flat.astype(np.uint16 if len(p["x"]) < 65536 else np.int32), kind="stable")
     word, at = np.unique(flat[order], return_index=True)
     grads["x"][word] += np.add.reduceat(dx.reshape(-1, 2 * k)[order], at)
+    return dx
+
+
+def _placed(lay: Layout, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """words: rows in Own of all words, document by document, -1 for words of the dense part. The same as ids and before of the layout."""
+    now, before = np.full((2, lay.ids.size), -1, np.int32)
+    now[lay.place] = words
+    last = np.concatenate([[-1], words[:-1]])
+    last[lay.first] = -1
+    before[lay.place] = last
+    return now.reshape(lay.ids.shape), before.reshape(lay.ids.shape)
+
+
+def _inputs(p: dict[str, np.ndarray], own: Own, before: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    x = p["x"][before]
+    at = rows >= 0
+    x[at, p["u"].shape[0] :] += own.a[rows[at]]
+    return x
 
 
 class Trainer:
@@ -293,22 +317,35 @@ class Trainer:
         self.p, self.vocab, self.rate, self.n, self.words = {k: v.copy() for k, v in p.items()}, vocab, rate, 0, 0
         self.m, self.v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
 
-    def learn(self, docs: list[np.ndarray], window: int = WINDOW) -> None:
+    def learn(self, docs: list[np.ndarray], window: int = WINDOW, own: Own | None = None, words: np.ndarray | None = None) -> None:
+        """own learns too, if it is given; words: its rows for all words, document by document, -1 for the dense part's."""
         docs = [d for d in docs if len(d)]
         if not docs:
             return
         lay = Layout(docs, self.vocab.size)
+        now, last = _placed(lay, words) if own else (None, None)
         h = np.zeros((lay.ids.shape[1], self.p["u"].shape[0]), np.float32)
         self.words += int(lay.live.sum())
         for a in range(0, len(lay.ids), window):
             part = slice(a, a + window)
             live = lay.live[part].reshape(-1)
-            states, h, saved = forward(self.p, lay.before[part], lay.keep[part], h)
+            states, h, saved = forward(self.p, lay.before[part], lay.keep[part], h, _inputs(self.p, own, lay.before[part], last[part]) if own else None)
             grads = {k: np.zeros_like(x) for k, x in self.p.items()}
             flat = states.reshape(-1, h.shape[1])
-            _, back = output(self.p, self.vocab.bounds, self.vocab.class_of, flat, lay.ids[part].reshape(-1), live / np.float32(max(live.sum(), 1)), grads)
-            backward(self.p, lay.before[part], lay.keep[part], saved, back.reshape(states.shape), grads)
+            weight = live / np.float32(max(live.sum(), 1))
+            _, back = output(self.p, self.vocab.bounds, self.vocab.class_of, flat, lay.ids[part].reshape(-1), weight, grads)
+            if own:
+                rest = np.flatnonzero(now[part].reshape(-1) >= 0)
+                _, more, nodes, of_nodes = own.output(flat[rest], now[part].reshape(-1)[rest], weight[rest])
+                back[rest] += more
+            dx = backward(self.p, lay.before[part], lay.keep[part], saved, back.reshape(states.shape), grads)
             self._step(grads)
+            if own:
+                at = last[part] >= 0
+                rows, of_rows = summed(last[part][at], dx[at][:, h.shape[1] :])
+                own.used["a"] += np.bincount(last[part][at], minlength=len(own.a))
+                own.step("v", nodes, of_nodes, self.rate)
+                own.step("a", rows, of_rows, self.rate)
 
     def _step(self, grads: dict[str, np.ndarray]) -> None:
         self.n += 1
@@ -323,21 +360,27 @@ class Trainer:
             self.p[k] -= (size * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
 
 
-def likelihoods(p: dict[str, np.ndarray], vocab: Vocabulary, docs: list[np.ndarray], window: int = WINDOW) -> np.ndarray:
-    """Natural logarithm of each document's likelihood, 0 for one without words; of the rarer words just their class counts."""
+def likelihoods(p: dict[str, np.ndarray], vocab: Vocabulary, docs: list[np.ndarray], window: int = WINDOW, own: Own | None = None, words: np.ndarray | None = None) -> np.ndarray:
+    """Natural logarithm of each document's likelihood, 0 for one without words; without own, of the rarer words just their class counts."""
     out = np.zeros(len(docs))
-    own = [i for i, d in enumerate(docs) if len(d)]
-    if not own:
+    full = [i for i, d in enumerate(docs) if len(d)]
+    if not full:
         return out
-    lay = Layout([docs[i] for i in own], vocab.size)
+    lay = Layout([docs[i] for i in full], vocab.size)
+    now, last = _placed(lay, words) if own else (None, None)
     h = np.zeros((lay.ids.shape[1], p["u"].shape[0]), np.float32)
     ll = np.empty(lay.ids.shape, np.float32)
     for a in range(0, len(lay.ids), window):
         part = slice(a, a + window)
-        states, h, _ = forward(p, lay.before[part], lay.keep[part], h)
-        ll[part] = output(p, vocab.bounds, vocab.class_of, states.reshape(-1, h.shape[1]), lay.ids[part].reshape(-1))[0].reshape(states.shape[:2])
+        states, h, _ = forward(p, lay.before[part], lay.keep[part], h, _inputs(p, own, lay.before[part], last[part]) if own else None)
+        flat = states.reshape(-1, h.shape[1])
+        each = output(p, vocab.bounds, vocab.class_of, flat, lay.ids[part].reshape(-1))[0]
+        if own:
+            rest = np.flatnonzero(now[part].reshape(-1) >= 0)
+            each[rest] += own.output(flat[rest], now[part].reshape(-1)[rest])[0]
+        ll[part] = each.reshape(states.shape[:2])
     each = ll.reshape(-1)[lay.place].astype(float)
-    out[own] = np.add.reduceat(each, lay.first)
+    out[full] = np.add.reduceat(each, lay.first)
     return out
 
 
@@ -360,6 +403,15 @@ def _gathered(batches, split):
         yield ids, docs
 
 
+COPIES = "block int, copy int, words long, sums binary"
+
+
+def _copy(trainer: Trainer, number: int) -> pa.RecordBatch:
+    flat = np.concatenate([x.reshape(-1) for x in trainer.p.values()]).astype(float) * trainer.words
+    parts = np.array_split(flat, BLOCKS)
+    return pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([number] * BLOCKS, pa.int32()), pa.array([trainer.words] * BLOCKS, pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], ["block", "copy", "words", "sums"])
+
+
 def _averaged(docs: DataFrame, vocab: Vocabulary, p: dict[str, np.ndarray], rate: float) -> dict[str, np.ndarray]:
     """The mean of the copies that the tasks train, beginning with p."""
     kind = np.uint16 if vocab.size < 65536 else np.int32
@@ -371,19 +423,22 @@ def _averaged(docs: DataFrame, vocab: Vocabulary, p: dict[str, np.ndarray], rate
         for _, some in _gathered(batches, lambda texts: [(d.astype(kind),) for d in vocab.numbers(texts)]):
             trainer.learn([d for (d,) in some])
         if trainer.words:
-            flat = np.concatenate([trainer.p[k].reshape(-1) for k in p]).astype(float) * trainer.words
-            parts = np.array_split(flat, BLOCKS)
-            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([TaskContext.get().partitionId()] * BLOCKS, pa.int32()), pa.array([trainer.words] * BLOCKS, pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], ["block", "copy", "words", "sums"])
+            yield _copy(trainer, TaskContext.get().partitionId())
+
+    copies = docs.select(F.lit(0).cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), COPIES)
+    return _mean(written(copies, "copies"), p)
+
+
+def _mean(copies: DataFrame, p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The mean of a table of copies, p if there are none."""
 
     def add(key, table):
         total = sum(np.frombuffer(raw) for raw in table.sort_by("copy").column("sums").to_pylist())
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "copy": pa.array([key[1].as_py()], pa.int32()), "words": pa.array([sum(table.column("words").to_pylist())], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
 
-    schema = "block int, copy int, words long, sums binary"
-    copies = written(docs.select(F.lit(0).cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), schema), "copies")
     n = (copies.agg(F.max("copy")).first()[0] or 0) + 1
     while n > 1:
-        copies = copies.withColumn("copy", F.floor(F.col("copy") / FAN).cast("int")).groupBy("block", "copy").applyInArrow(add, schema)
+        copies = copies.withColumn("copy", F.floor(F.col("copy") / FAN).cast("int")).groupBy("block", "copy").applyInArrow(add, COPIES)
         n = -(-n // FAN)
     rows = sorted(copies.collect(), key=lambda r: r.block)
     if not rows:
@@ -425,7 +480,254 @@ def scored(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, p: dict[str, n
     return rows.join(sums, "key", "left").select("doc_id", "n_words", ll.alias("log_likelihood"), F.when(F.col("n_words") > 0, F.exp(-ll / F.col("n_words"))).alias("perplexity"))
 
 
-def score(docs: DataFrame, hidden: int = HIDDEN, rate: float = RATE, rounds: int = ROUNDS, vectors: int | None = None, looked_up: int = LOOKED_UP) -> DataFrame:
-    counts = written(word_counts(docs), "words")
-    vocab = vocabulary(counts, vectors, looked_up)
-    return scored(docs, counts, vocab, train(docs, vocab, hidden, rate, rounds))
+# --- tables of all words' vectors
+
+#: What a part of the corpus needs and makes. Of a part itself (shard -1): lengths of its documents, words (those without vectors as
+#: size - 1 and more, by their place among `c`, their sorted hashes); ranks (-2); rows of vectors (0 and more). Whatever is sent by shards
+#: is the rows whose rank or node has the shard as its remainder.
+PIECES = "part int, shard int, a binary, b binary, c binary, d binary, doc_id array<long>"
+
+
+def _pieces(rows: list[tuple]) -> pa.Table:
+    """rows: (part, shard, up to four arrays, [list of ids])."""
+    columns = [pa.array([r[i] for r in rows], pa.int32()) for i in range(2)]
+    columns += [pa.array([r[i].tobytes() if len(r) > i and r[i] is not None else None for r in rows], pa.binary()) for i in range(2, 6)]
+    columns.append(pa.array([r[6] if len(r) > 6 else None for r in rows], pa.list_(pa.int64())))
+    return pa.Table.from_arrays(columns, names=["part", "shard", "a", "b", "c", "d", "doc_id"])
+
+
+def _array(raw: bytes, kind, *shape: int) -> np.ndarray:
+    out = np.frombuffer(raw, kind)
+    return out.reshape(shape) if shape else out
+
+
+def _parts(docs: DataFrame, vocab: Vocabulary, rounds: int) -> DataFrame:
+    """The documents in rows of about TOGETHER words, each of one round by the hash of the text."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        task, done = TaskContext.get().partitionId(), 0
+        held = [([], [], [], []) for _ in range(rounds)]
+
+        def row(k):
+            nonlocal done
+            docs, lengths, ids, hashes = held[k]
+            held[k] = ([], [], [], [])
+            words = np.concatenate([np.zeros(0, np.int32), *ids])
+            keys, at = np.unique(np.concatenate([np.zeros(0, np.int64), *hashes]), return_inverse=True)
+            words[words == vocab.size - 1] += at.astype(np.int32)
+            done += 1
+            name = np.array([task, done * rounds + k], np.int64)
+            yield from _pieces([(None, -1, np.concatenate(lengths), words, keys, name, docs)]).to_batches()
+
+        for batch in batches:
+            which = np.array(batch.column(2).to_pylist(), np.int64)
+            for k in range(rounds):
+                some = batch.filter(pa.array(which == k))
+                for ids, texts in chunks(some.column(0).to_pylist(), [t or "" for t in some.column(1).to_pylist()]):
+                    words = Words(texts)
+                    numbers = vocab._ids(words.hash)
+                    for kept, new in zip(held[k], (ids, None, None, None), strict=True):
+                        kept += new or []
+                    held[k][1].append(np.diff(words.first).astype(np.int64))
+                    held[k][2].append(numbers)
+                    held[k][3].append(words.hash[numbers == vocab.size - 1].view(np.int64))
+                    if sum(map(len, held[k][2])) >= TOGETHER:
+                        yield from row(k)
+        for k in range(rounds):
+            if held[k][1]:
+                yield from row(k)
+
+    which = F.coalesce(F.pmod(F.xxhash64("text"), F.lit(rounds)), F.lit(0)).alias("which")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", which).mapInArrow(tidy(run), PIECES)
+
+
+def ranked(counts: DataFrame) -> DataFrame:
+    """(word, rank): the order of Vocabulary, of all words. No step orders more than words of one frequency and one 4096th of the hashes."""
+    by = counts.withColumn("cell", F.expr("shiftright(word, 52)"))
+    cells = by.groupBy("n", "cell").agg(F.count("*").alias("words"))
+    # Distinct frequencies are few: a corpus of t words has less than the root of 2t.
+    before = cells.groupBy("n").agg(F.sum("words").alias("all")).select("n", (F.sum("all").over(Window.orderBy(F.desc("n"))) - F.col("all")).alias("before"))
+    inside = F.sum("words").over(Window.partitionBy("n").orderBy("cell")) - F.col("words")
+    begin = cells.select("n", "cell", inside.alias("inside")).join(before, "n").select("n", "cell", (F.col("before") + F.col("inside")).alias("begin"))
+    place = F.row_number().over(Window.partitionBy("n", "cell").orderBy("word"))
+    return by.select("word", "n", "cell", place.alias("place")).join(begin, ["n", "cell"]).select("word", (F.col("begin") + F.col("place") - 1).alias("rank"))
+
+
+def _ranks(parts: DataFrame, ranks: DataFrame) -> DataFrame:
+    """For each part the ranks of its words without vectors, in the order of their hashes."""
+
+    def asked(batches):
+        for batch in batches:
+            for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keys = _array(raw, np.int64)
+                for a in range(0, len(keys), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[a : a + (1 << 16)]), part, np.int32)), pa.array(keys[a : a + (1 << 16)])], ["part", "word"])
+
+    def put(key, table):
+        order = np.argsort(table.column("word").to_numpy())
+        return _pieces([(key[0].as_py(), -2, table.column("rank").to_numpy()[order])])
+
+    words = parts.select("part", "c").mapInArrow(tidy(asked), "part int, word long")
+    return words.join(ranks, "word").groupBy("part").applyInArrow(released(put), PIECES)
+
+
+class _Part:
+    """A part's rows put together."""
+
+    def __init__(self, table: pa.Table, vocab: Vocabulary, tree: Tree, hidden: int, shards: int):
+        rows = {r["shard"]: r for r in table.to_pylist()}
+        one = rows[-1]
+        self.number, self.doc_ids, lengths, words = one["part"], one["doc_id"], _array(one["a"], np.int64), _array(one["b"], np.int32)
+        self.own = Own(tree, _array(rows[-2]["a"], np.int64), hidden) if -2 in rows else None
+        if self.own:
+            for s in range(shards):
+                if s in rows:
+                    self.own.a[self.own.ranks % shards == s] = _array(rows[s]["a"], np.float16, -1, hidden)
+                    self.own.v[self.own.nodes % shards == s] = _array(rows[s]["b"], np.float16, -1, hidden + 1)
+        ids = np.minimum(words, vocab.size - 1).astype(np.uint16 if vocab.size < 65536 else np.int32)
+        self.docs = np.split(ids, np.cumsum(lengths)[:-1])
+        self.words = np.maximum(words - (vocab.size - 1), -1)
+
+
+def _asked(ranks: DataFrame, tree: Tree, shards: int) -> DataFrame:
+    """The ranks and nodes whose vectors parts need, by shard."""
+
+    def run(batches):
+        for batch in batches:
+            for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = Own(tree, _array(raw, np.int64), 0)
+                yield from _pieces([(part, s, own.ranks[own.ranks % shards == s], own.nodes[own.nodes % shards == s]) for s in range(shards)]).to_batches()
+
+    return ranks.select("part", "a").mapInArrow(tidy(run), PIECES)
+
+
+def _sent(asked: DataFrame, vectors: DataFrame, hidden: int) -> DataFrame:
+    """The vectors asked for, 0 where nothing has been learnt."""
+
+    def rows(keys, values, wide, wanted):
+        keys, values = _array(keys, np.int64), _array(values, np.float16, -1, wide)
+        wanted = _array(wanted, np.int64)
+        out = np.zeros((len(wanted), wide), np.float16)
+        at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+        hit = keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
+        out[hit] = values[at[hit]]
+        return out
+
+    def run(key, left, right):
+        have = right.to_pylist()
+        if not have:  # as good as a row of zeros
+            return _pieces([])
+        return _pieces([(r["part"], r["shard"], rows(have[0]["a"], have[0]["b"], hidden, r["a"]), rows(have[0]["c"], have[0]["d"], hidden + 1, r["b"])) for r in left.to_pylist()])
+
+    return asked.groupBy("shard").cogroup(vectors.groupBy("shard")).applyInArrow(released(run), PIECES)
+
+
+def _merged(learnt: DataFrame, before: DataFrame | None) -> DataFrame:
+    """One row for each shard: ranks, their vectors, nodes, theirs. Means of what parts learnt, by uses; what none of them used stays as before."""
+
+    def run(key, table):
+        rows = table.to_pylist()
+        out = []
+        for keys, values in (("a", "b"), ("c", "d")):
+            old = [r for r in rows if r["part"] == -1]
+            new = [r for r in rows if r["part"] >= 0]
+            # of a part: (key, uses) pairs, and the vectors
+            pairs = np.concatenate([np.zeros((0, 2), np.int64), *(_array(r[keys], np.int64, -1, 2) for r in sorted(new, key=lambda r: r["part"]))])
+            if not len(pairs):
+                k, v = (_array(old[0][x], t) for x, t in ((keys, np.int64), (values, np.float16))) if old else (np.zeros(0, np.int64), np.zeros(0, np.float16))
+                out += [k, v]
+                continue
+            raw = np.concatenate([_array(r[values], np.float16) for r in sorted(new, key=lambda r: r["part"])]).reshape(len(pairs), -1)
+            ids, total = summed(pairs[:, 0], np.concatenate([raw * pairs[:, 1:].astype(np.float32), pairs[:, 1:].astype(np.float32)], 1))
+            mean = (total[:, :-1] / total[:, -1:]).astype(np.float16)
+            if old:
+                k, v = _array(old[0][keys], np.int64), _array(old[0][values], np.float16, -1, mean.shape[1])
+                keep = ~np.isin(k, ids)
+                ids, mean = np.concatenate([ids, k[keep]]), np.concatenate([mean, v[keep]])
+                order = np.argsort(ids)
+                ids, mean = ids[order], mean[order]
+            out += [ids, mean]
+        return _pieces([(-1, key[0].as_py(), *out)])
+
+    return (learnt.unionByName(before) if before is not None else learnt).groupBy("shard").applyInArrow(released(run), PIECES)
+
+
+def _learnt(pieces: DataFrame, vocab: Vocabulary, tree: Tree, p: dict[str, np.ndarray], rate: float, hidden: int, shards: int) -> DataFrame:
+    """What each part of a round learns, beginning with p and the vectors it was sent: blocks of its copy of the dense part, and vectors with their uses by shard."""
+
+    def run(key, table):
+        part = _Part(table, vocab, tree, hidden, shards)
+        trainer, own = Trainer(p, vocab, rate), part.own
+        trainer.learn(part.docs, own=own, words=part.words)
+        out = _pieces([])
+        if own:
+            rows = []
+            for s in range(shards):
+                both = []
+                for keys, kind in ((own.ranks, "a"), (own.nodes, "v")):
+                    at = (keys % shards == s) & (own.used[kind] > 0)
+                    both += [np.stack([keys[at], own.used[kind][at]], 1), getattr(own, kind)[at].astype(np.float16)]
+                rows.append((part.number, s, *both))
+            out = _pieces(rows)
+        dense = pa.Table.from_batches([_copy(trainer, part.number)] if trainer.words else [], pa.schema([("block", pa.int32()), ("copy", pa.int32()), ("words", pa.int64()), ("sums", pa.binary())]))
+        return pa.concat_tables([out, dense], promote_options="default")
+
+    return pieces.groupBy("part").applyInArrow(released(run), f"{PIECES}, {COPIES}")
+
+
+def _scored(pieces: DataFrame, vocab: Vocabulary, tree: Tree, p: dict[str, np.ndarray], hidden: int, shards: int) -> DataFrame:
+    def run(key, table):
+        part = _Part(table, vocab, tree, hidden, shards)
+        ll = likelihoods(p, vocab, part.docs, own=part.own, words=part.words)
+        return pa.table({"doc_id": pa.array(part.doc_ids, pa.int64()), "n_words": pa.array([len(d) for d in part.docs], pa.int64()), "log_likelihood": pa.array(ll)})
+
+    rows = pieces.groupBy("part").applyInArrow(released(run), "doc_id long, n_words long, log_likelihood double")
+    return rows.withColumn("perplexity", F.when(F.col("n_words") > 0, F.exp(-F.col("log_likelihood") / F.col("n_words"))))
+
+
+@contextmanager
+def _cleaning(spark: SparkSession):
+    """Shuffle files of each query inside are removed when it has ended, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if was is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, was)
+
+
+def score(docs: DataFrame, hidden: int = HIDDEN, rate: float = RATE, rounds: int = ROUNDS, vectors: int | None = None) -> DataFrame:
+    """(doc_id, n_words, log_likelihood, perplexity): a row for each row of docs, under a model with vectors for all words."""
+    with _cleaning(docs.sparkSession):
+        counts = written(word_counts(docs), "words")
+        vocab = vocabulary(counts, vectors, 0)
+        tree = Tree(sorted(((r.n, r.words) for r in counts.groupBy("n").agg(F.count("*").alias("words")).collect()), reverse=True), vocab.size - 1)
+        parts = written(_parts(docs, vocab, rounds), "parts")
+        names = sorted(tuple(_array(r.d, np.int64).tolist()) for r in parts.select("d").collect())
+        shards = max(len(names), 1)
+        number = parts.sparkSession.createDataFrame([(np.array(x, np.int64).tobytes(), i, x[1] % rounds) for i, x in enumerate(names)], "d binary, number int, round int")
+        parts = parts.join(F.broadcast(number), "d").withColumn("part", F.col("number")).drop("number").select(*parts.columns, "round")
+        ranks = written(_ranks(parts, ranked(counts)), "ranks")
+        drop(counts)
+    p, found = start(vocab, hidden), None
+
+    def pieces(part: DataFrame) -> DataFrame:
+        own = ranks.join(F.broadcast(part.select("part").distinct()), "part", "left_semi").select(*ranks.columns)
+        every = part.drop("round").unionByName(own)
+        return every if found is None else every.unionByName(_sent(_asked(own, tree, shards), found, hidden))
+
+    with _cleaning(docs.sparkSession):
+        for k in range(rounds):
+            learnt = written(_learnt(pieces(parts.where(F.col("round") == k)), vocab, tree, p, rate, hidden, shards), "learnt")
+            p = _mean(learnt.where("block IS NOT NULL").select("block", "copy", "words", "sums"), p)
+            found = written(_merged(learnt.where("block IS NULL").drop("block", "copy", "words", "sums"), found), "vectors", found)
+            drop(learnt)
+        # Round by round too, as the vectors that are sent are several times the texts.
+        rows = [written(_scored(pieces(parts.where(F.col("round") == k)), vocab, tree, p, hidden, shards), "scored") for k in range(rounds)]
+    return reduce(DataFrame.unionByName, rows)
