@@ -9,10 +9,10 @@ both what is learnt and what is counted grow with the corpus. The model is a min
 softmax is factored: first a class, then a word in it; the classes of words with vectors are runs of them with like sums of root
 frequencies, half as many as the root of their number.
 
-Training goes once over all documents, in ROUNDS rounds by the hash of their text: in each round every task trains a copy of the model so
-far by backpropagation truncated to WINDOW words (Adam), and the copies are averaged by their numbers of words, by a tree of sums of
-FAN copies at most; own vectors are averaged by their uses, over the copies that used them. They travel as 16-bit floats. In score() a
-copy has about TOGETHER words. Documents lie one after another in parallel streams; the state is zero where one begins and is carried from window to
+Training goes once over all documents. In score() they are in parts of about TOGETHER words, each of one of ROUNDS rounds by its number; in
+train() the rounds are by the hash of the text. In each round every part (train(): task) trains a copy of the model so
+far by backpropagation truncated to WINDOW words (Adam; own vectors: Adagrad), and the copies are averaged by their numbers of words, by a tree of sums of
+FAN copies at most; own vectors are averaged by their uses, over the copies that used them. They travel as 16-bit floats. Documents lie one after another in parallel streams; the state is zero where one begins and is carried from window to
 window, in training and in scoring, so that a likelihood is that of the complete document.
 
 In scored(), counts of the LOOKED_UP most frequent words are sent to all tasks; occurrences of rarer ones are joined with the table of counts, with
@@ -39,12 +39,12 @@ from pyspark.sql import functions as F
 from symscape.llm.common import Words, chunks, drop, released, tidy, written
 from symscape.llm.own import Own, Tree, summed
 
-HIDDEN, WINDOW, ROUNDS = 16, 32, 2
+HIDDEN, WINDOW, ROUNDS = 16, 32, 4
 RATE, STREAMS = 6e-3, 256
 #: Words in the dense part at most, whatever the corpus (the others have their vectors in tables): 200 bytes each in every task; and words of which tasks get the counts: 12 bytes each.
 VECTORS, LOOKED_UP = 1 << 18, 1_000_000
 #: Words that are trained on or scored together, and distinct words that a task counts before it hands them on.
-TOGETHER, DISTINCT = 4_000_000, 1_000_000
+TOGETHER, DISTINCT = 2_000_000, 1_000_000
 #: The parameters' numbers are summed in so many blocks, and of so many copies at once.
 BLOCKS, FAN = 16, 64
 
@@ -180,16 +180,18 @@ class Layout:
         steps = max(n for n, _ in heap)
         flat = np.concatenate(docs)
         first = np.cumsum(lengths) - lengths
-        step = np.arange(total) + np.repeat(begin - first, lengths)
-        self.place = step * b + np.repeat(stream, lengths)
+        kind = np.int32 if steps * b < 1 << 31 else np.int64
+        self.place = np.arange(total, dtype=kind)
+        self.place += np.repeat((begin - first).astype(kind), lengths)
+        self.place *= b
+        self.place += np.repeat(stream.astype(kind), lengths)
         self.first = first
         self.ids, self.before = np.full(steps * b, size - 1, np.int32), np.full(steps * b, size, np.int32)
         self.keep, self.live = np.ones((2, steps * b), np.float32)
         self.live[:] = 0
         self.ids[self.place], self.live[self.place] = flat, 1
-        before = np.concatenate([[size], flat[:-1]])
-        before[first] = size
-        self.before[self.place] = before
+        self.before[self.place[1:]] = flat[:-1]
+        self.before[self.place[first]] = size
         self.keep[self.place[first]] = 0
         self.ids, self.before, self.keep, self.live = (x.reshape(steps, b) for x in (self.ids, self.before, self.keep, self.live))
 
@@ -299,9 +301,8 @@ def _placed(lay: Layout, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """words: rows in Own of all words, document by document, -1 for words of the dense part. The same as ids and before of the layout."""
     now, before = np.full((2, lay.ids.size), -1, np.int32)
     now[lay.place] = words
-    last = np.concatenate([[-1], words[:-1]])
-    last[lay.first] = -1
-    before[lay.place] = last
+    before[lay.place[1:]] = words[:-1]
+    before[lay.place[lay.first]] = -1
     return now.reshape(lay.ids.shape), before.reshape(lay.ids.shape)
 
 
@@ -342,8 +343,8 @@ class Trainer:
             self._step(grads)
             if own:
                 at = last[part] >= 0
-                rows, of_rows = summed(last[part][at], dx[at][:, h.shape[1] :])
-                own.used["a"] += np.bincount(last[part][at], minlength=len(own.a))
+                rows, of_rows, uses = summed(last[part][at], dx[at][:, h.shape[1] :])
+                own.used["a"][rows] += uses
                 own.step("v", nodes, of_nodes, self.rate)
                 own.step("a", rows, of_rows, self.rate)
 
@@ -501,46 +502,44 @@ def _array(raw: bytes, kind, *shape: int) -> np.ndarray:
     return out.reshape(shape) if shape else out
 
 
-def _parts(docs: DataFrame, vocab: Vocabulary, rounds: int) -> DataFrame:
-    """The documents in rows of about TOGETHER words, each of one round by the hash of the text."""
+def _parts(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """The documents in rows of about TOGETHER words."""
 
     def run(batches):
         from pyspark import TaskContext
 
         task, done = TaskContext.get().partitionId(), 0
-        held = [([], [], [], []) for _ in range(rounds)]
+        docs, lengths, ids, hashes, n = [], [], [], [], 0
 
-        def row(k):
-            nonlocal done
-            docs, lengths, ids, hashes = held[k]
-            held[k] = ([], [], [], [])
+        def row():
+            nonlocal docs, lengths, ids, hashes, n, done
             words = np.concatenate([np.zeros(0, np.int32), *ids])
             keys, at = np.unique(np.concatenate([np.zeros(0, np.int64), *hashes]), return_inverse=True)
             words[words == vocab.size - 1] += at.astype(np.int32)
-            done += 1
-            name = np.array([task, done * rounds + k], np.int64)
-            yield from _pieces([(None, -1, np.concatenate(lengths), words, keys, name, docs)]).to_batches()
+            one = (None, -1, np.concatenate(lengths), words, keys, np.array([task, done], np.int64), docs)
+            docs, lengths, ids, hashes, n, done = [], [], [], [], 0, done + 1
+            yield from _pieces([one]).to_batches()
 
         for batch in batches:
-            which = np.array(batch.column(2).to_pylist(), np.int64)
-            for k in range(rounds):
-                some = batch.filter(pa.array(which == k))
-                for ids, texts in chunks(some.column(0).to_pylist(), [t or "" for t in some.column(1).to_pylist()]):
-                    words = Words(texts)
-                    numbers = vocab._ids(words.hash)
-                    for kept, new in zip(held[k], (ids, None, None, None), strict=True):
-                        kept += new or []
-                    held[k][1].append(np.diff(words.first).astype(np.int64))
-                    held[k][2].append(numbers)
-                    held[k][3].append(words.hash[numbers == vocab.size - 1].view(np.int64))
-                    if sum(map(len, held[k][2])) >= TOGETHER:
-                        yield from row(k)
-        for k in range(rounds):
-            if held[k][1]:
-                yield from row(k)
-
-    which = F.coalesce(F.pmod(F.xxhash64("text"), F.lit(rounds)), F.lit(0)).alias("which")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", which).mapInArrow(tidy(run), PIECES)
+            for some, texts in chunks(batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]):
+                words = Words(texts)
+                numbers = vocab._ids(words.hash)
+                a = 0
+                while a < len(some):  # up to the document that fills a part
+                    b = min(int(np.searchsorted(words.first, words.first[a] + TOGETHER - n)), len(some))
+                    of = slice(words.first[a], words.first[b])
+                    docs += some[a:b]
+                    lengths.append(np.diff(words.first[a : b + 1]).astype(np.int64))
+                    ids.append(numbers[of])
+                    hashes.append(words.hash[of][numbers[of] == vocab.size - 1].view(np.int64))
+                    n += len(numbers[of])
+                    if n >= TOGETHER:
+                        yield from row()
+                    a = b
+        if docs:
+            yield from row()
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), PIECES)
 
 
 def ranked(counts: DataFrame) -> DataFrame:
@@ -573,19 +572,34 @@ def _ranks(parts: DataFrame, ranks: DataFrame) -> DataFrame:
     return words.join(ranks, "word").groupBy("part").applyInArrow(released(put), PIECES)
 
 
+def _by_shard(keys: np.ndarray, shards: int) -> list[np.ndarray]:
+    """For each shard the places of its keys, in order."""
+    shard = (keys % shards).astype(np.uint16 if shards < 65536 else np.int32)
+    return np.split(np.argsort(shard, kind="stable"), np.cumsum(np.bincount(shard, minlength=shards))[:-1])
+
+
+def _kind(tree: Tree) -> type:
+    """Of ranks and nodes that travel."""
+    return np.int32 if tree.distinct < 1 << 31 else np.int64
+
+
 class _Part:
     """A part's rows put together."""
 
     def __init__(self, table: pa.Table, vocab: Vocabulary, tree: Tree, hidden: int, shards: int):
-        rows = {r["shard"]: r for r in table.to_pylist()}
-        one = rows[-1]
-        self.number, self.doc_ids, lengths, words = one["part"], one["doc_id"], _array(one["a"], np.int64), _array(one["b"], np.int32)
-        self.own = Own(tree, _array(rows[-2]["a"], np.int64), hidden) if -2 in rows else None
+        rows = {s: i for i, s in enumerate(table.column("shard").to_pylist())}
+
+        def bytes_of(shard, column):  # where the table has them, without a copy
+            return table.column(column)[rows[shard]].as_buffer()
+
+        self.number, self.doc_ids, lengths, words = table.column("part")[0].as_py(), table.column("doc_id")[rows[-1]].as_py(), _array(bytes_of(-1, "a"), np.int64), _array(bytes_of(-1, "b"), np.int32)
+        self.own = Own(tree, _array(bytes_of(-2, "a"), np.int64), hidden) if -2 in rows else None
         if self.own:
+            of_rank, of_node = (_by_shard(x, shards) for x in (self.own.ranks, self.own.nodes))
             for s in range(shards):
                 if s in rows:
-                    self.own.a[self.own.ranks % shards == s] = _array(rows[s]["a"], np.float16, -1, hidden)
-                    self.own.v[self.own.nodes % shards == s] = _array(rows[s]["b"], np.float16, -1, hidden + 1)
+                    self.own.a[of_rank[s]] = _array(bytes_of(s, "a"), np.float16, -1, hidden)
+                    self.own.v[of_node[s]] = _array(bytes_of(s, "b"), np.float16, -1, hidden + 1)
         ids = np.minimum(words, vocab.size - 1).astype(np.uint16 if vocab.size < 65536 else np.int32)
         self.docs = np.split(ids, np.cumsum(lengths)[:-1])
         self.words = np.maximum(words - (vocab.size - 1), -1)
@@ -597,18 +611,21 @@ def _asked(ranks: DataFrame, tree: Tree, shards: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = Own(tree, _array(raw, np.int64), 0)
-                yield from _pieces([(part, s, own.ranks[own.ranks % shards == s], own.nodes[own.nodes % shards == s]) for s in range(shards)]).to_batches()
+                ranks = _array(raw, np.int64)
+                nodes = tree.nodes(np.sort(ranks))[0]
+                of_rank, of_node = _by_shard(ranks, shards), _by_shard(nodes, shards)
+                yield from _pieces([(part, s, ranks[of_rank[s]].astype(_kind(tree)), nodes[of_node[s]].astype(_kind(tree))) for s in range(shards)]).to_batches()
 
     return ranks.select("part", "a").mapInArrow(tidy(run), PIECES)
 
 
-def _sent(asked: DataFrame, vectors: DataFrame, hidden: int) -> DataFrame:
+def _sent(asked: DataFrame, vectors: DataFrame, hidden: int, tree: Tree) -> DataFrame:
     """The vectors asked for, 0 where nothing has been learnt."""
 
+    kind = _kind(tree)
+
     def rows(keys, values, wide, wanted):
-        keys, values = _array(keys, np.int64), _array(values, np.float16, -1, wide)
-        wanted = _array(wanted, np.int64)
+        wanted = _array(wanted, kind)
         out = np.zeros((len(wanted), wide), np.float16)
         at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
         hit = keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
@@ -616,17 +633,21 @@ def _sent(asked: DataFrame, vectors: DataFrame, hidden: int) -> DataFrame:
         return out
 
     def run(key, left, right):
-        have = right.to_pylist()
-        if not have:  # as good as a row of zeros
+        if not right.num_rows:  # as good as a row of zeros
             return _pieces([])
-        return _pieces([(r["part"], r["shard"], rows(have[0]["a"], have[0]["b"], hidden, r["a"]), rows(have[0]["c"], have[0]["d"], hidden + 1, r["b"])) for r in left.to_pylist()])
+        ranks, a, nodes, v = (right.column(c)[0].as_buffer() for c in "abcd")
+        ranks, nodes = (_array(x, np.int64).astype(kind) for x in (ranks, nodes))
+        a, v = _array(a, np.float16, -1, hidden), _array(v, np.float16, -1, hidden + 1)
+        return _pieces([(r["part"], r["shard"], rows(ranks, a, hidden, r["a"]), rows(nodes, v, hidden + 1, r["b"])) for r in left.to_pylist()])
 
     return asked.groupBy("shard").cogroup(vectors.groupBy("shard")).applyInArrow(released(run), PIECES)
 
 
-def _merged(learnt: DataFrame, before: DataFrame | None) -> DataFrame:
+def _merged(learnt: DataFrame, before: DataFrame | None, tree: Tree) -> DataFrame:
     """One row for each shard: ranks, their vectors, nodes, theirs. Means of what parts learnt, by uses; what none of them used stays as before."""
 
+    kind = _kind(tree)
+
     def run(key, table):
         rows = table.to_pylist()
         out = []
@@ -634,13 +655,14 @@ def _merged(learnt: DataFrame, before: DataFrame | None) -> DataFrame:
             old = [r for r in rows if r["part"] == -1]
             new = [r for r in rows if r["part"] >= 0]
             # of a part: (key, uses) pairs, and the vectors
-            pairs = np.concatenate([np.zeros((0, 2), np.int64), *(_array(r[keys], np.int64, -1, 2) for r in sorted(new, key=lambda r: r["part"]))])
+            pairs = np.concatenate([np.zeros((0, 2), kind), *(_array(r[keys], kind, -1, 2) for r in sorted(new, key=lambda r: r["part"]))])
             if not len(pairs):
                 k, v = (_array(old[0][x], t) for x, t in ((keys, np.int64), (values, np.float16))) if old else (np.zeros(0, np.int64), np.zeros(0, np.float16))
                 out += [k, v]
                 continue
             raw = np.concatenate([_array(r[values], np.float16) for r in sorted(new, key=lambda r: r["part"])]).reshape(len(pairs), -1)
-            ids, total = summed(pairs[:, 0], np.concatenate([raw * pairs[:, 1:].astype(np.float32), pairs[:, 1:].astype(np.float32)], 1))
+            uses = pairs[:, 1:].astype(np.float32)
+            ids, total, _ = summed(pairs[:, 0].astype(np.int64), np.concatenate([raw * uses, uses], 1))
             mean = (total[:, :-1] / total[:, -1:]).astype(np.float16)
             if old:
                 k, v = _array(old[0][keys], np.int64), _array(old[0][values], np.float16, -1, mean.shape[1])
@@ -664,11 +686,12 @@ def _learnt(pieces: DataFrame, vocab: Vocabulary, tree: Tree, p: dict[str, np.nd
         out = _pieces([])
         if own:
             rows = []
+            of = {"a": (own.ranks, _by_shard(own.ranks, shards)), "v": (own.nodes, _by_shard(own.nodes, shards))}
             for s in range(shards):
                 both = []
-                for keys, kind in ((own.ranks, "a"), (own.nodes, "v")):
-                    at = (keys % shards == s) & (own.used[kind] > 0)
-                    both += [np.stack([keys[at], own.used[kind][at]], 1), getattr(own, kind)[at].astype(np.float16)]
+                for kind, (keys, places) in of.items():
+                    at = places[s][own.used[kind][places[s]] > 0]
+                    both += [np.stack([keys[at], own.used[kind][at]], 1).astype(_kind(tree)), getattr(own, kind)[at].astype(np.float16)]
                 rows.append((part.number, s, *both))
             out = _pieces(rows)
         dense = pa.Table.from_batches([_copy(trainer, part.number)] if trainer.words else [], pa.schema([("block", pa.int32()), ("copy", pa.int32()), ("words", pa.int64()), ("sums", pa.binary())]))
@@ -708,10 +731,10 @@ def score(docs: DataFrame, hidden: int = HIDDEN, rate: float = RATE, rounds: int
         counts = written(word_counts(docs), "words")
         vocab = vocabulary(counts, vectors, 0)
         tree = Tree(sorted(((r.n, r.words) for r in counts.groupBy("n").agg(F.count("*").alias("words")).collect()), reverse=True), vocab.size - 1)
-        parts = written(_parts(docs, vocab, rounds), "parts")
+        parts = written(_parts(docs, vocab), "parts")
         names = sorted(tuple(_array(r.d, np.int64).tolist()) for r in parts.select("d").collect())
-        shards = max(len(names), 1)
-        number = parts.sparkSession.createDataFrame([(np.array(x, np.int64).tobytes(), i, x[1] % rounds) for i, x in enumerate(names)], "d binary, number int, round int")
+        shards, rounds = max(len(names), 1), min(rounds, max(len(names), 1))
+        number = parts.sparkSession.createDataFrame([(np.array(x, np.int64).tobytes(), i, i % rounds) for i, x in enumerate(names)], "d binary, number int, round int")
         parts = parts.join(F.broadcast(number), "d").withColumn("part", F.col("number")).drop("number").select(*parts.columns, "round")
         ranks = written(_ranks(parts, ranked(counts)), "ranks")
         drop(counts)
@@ -720,13 +743,13 @@ def score(docs: DataFrame, hidden: int = HIDDEN, rate: float = RATE, rounds: int
     def pieces(part: DataFrame) -> DataFrame:
         own = ranks.join(F.broadcast(part.select("part").distinct()), "part", "left_semi").select(*ranks.columns)
         every = part.drop("round").unionByName(own)
-        return every if found is None else every.unionByName(_sent(_asked(own, tree, shards), found, hidden))
+        return every if found is None else every.unionByName(_sent(_asked(own, tree, shards), found, hidden, tree))
 
     with _cleaning(docs.sparkSession):
         for k in range(rounds):
             learnt = written(_learnt(pieces(parts.where(F.col("round") == k)), vocab, tree, p, rate, hidden, shards), "learnt")
             p = _mean(learnt.where("block IS NOT NULL").select("block", "copy", "words", "sums"), p)
-            found = written(_merged(learnt.where("block IS NULL").drop("block", "copy", "words", "sums"), found), "vectors", found)
+            found = written(_merged(learnt.where("block IS NULL").drop("block", "copy", "words", "sums"), found, tree), "vectors", found)
             drop(learnt)
         # Round by round too, as the vectors that are sent are several times the texts.
         rows = [written(_scored(pieces(parts.where(F.col("round") == k)), vocab, tree, p, hidden, shards), "scored") for k in range(rounds)]
