@@ -39,12 +39,12 @@ from pyspark.sql import functions as F
 from symscape.llm.common import Words, chunks, drop, released, tidy, written
 from symscape.llm.own import Own, Tree, summed
 
-HIDDEN, WINDOW, ROUNDS = 16, 32, 4
+HIDDEN, WINDOW, ROUNDS = 16, 32, 6
 RATE, STREAMS = 6e-3, 256
 #: Words in the dense part at most, whatever the corpus (the others have their vectors in tables): 200 bytes each in every task; and words of which tasks get the counts: 12 bytes each.
 VECTORS, LOOKED_UP = 1 << 18, 1_000_000
 #: Words that are trained on or scored together, and distinct words that a task counts before it hands them on.
-TOGETHER, DISTINCT = 2_000_000, 1_000_000
+TOGETHER, DISTINCT = 1_500_000, 1_000_000
 #: The parameters' numbers are summed in so many blocks, and of so many copies at once.
 BLOCKS, FAN = 16, 64
 
@@ -751,6 +751,6 @@ def score(docs: DataFrame, hidden: int = HIDDEN, rate: float = RATE, rounds: int
             p = _mean(learnt.where("block IS NOT NULL").select("block", "copy", "words", "sums"), p)
             found = written(_merged(learnt.where("block IS NULL").drop("block", "copy", "words", "sums"), found, tree), "vectors", found)
             drop(learnt)
-        # Round by round too, as the vectors that are sent are several times the texts.
-        rows = [written(_scored(pieces(parts.where(F.col("round") == k)), vocab, tree, p, hidden, shards), "scored") for k in range(rounds)]
+        # Two rounds at a time, as the vectors that are sent are several times the texts.
+        rows = [written(_scored(pieces(parts.where(F.col("round").isin(k, k + 1))), vocab, tree, p, hidden, shards), "scored") for k in range(0, rounds, 2)]
     return reduce(DataFrame.unionByName, rows)
