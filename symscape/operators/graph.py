@@ -27,12 +27,21 @@ def closure(edges: DataFrame, through: DataFrame | None = None) -> DataFrame:
 
 
 def transitive_reduction(edges: DataFrame, reach: DataFrame) -> DataFrame:
-    """edges (src, dst, ...) without those to a node that another node of the same src reaches and that doesn't reach that one back."""
-    both = edges.select("src", "dst").distinct()
-    pair = both.alias("t").join(both.alias("o"), "src").where("t.dst <> o.dst").select("src", F.col("t.dst").alias("dst"), F.col("o.dst").alias("other"))
-    forth = reach.select(F.col("src").alias("other"), F.col("dst"))
+    """edges (src, dst, ...) without those to a node that another node of the same src reaches and that doesn't reach that one back.
+
+    For each src either its targets meet each other, or each meets what it reaches, whichever makes fewer rows: a node with many targets
+    would else have the square of their number, one with few targets the whole graph below them."""
+    both = written(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct(), "targets")
+    below = reach.groupBy(F.col("src").alias("dst")).agg(F.count("*").alias("n"))
+    sizes = both.join(below, "dst", "left").groupBy("src").agg(F.count("*").alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).where("k > 1")
+    paired = F.col("n") > F.col("k").cast("double") * (F.col("k") - 1)
+    few = both.join(sizes.where(paired).select("src"), "src", "left_semi")
+    pair = few.alias("t").join(few.alias("o"), "src").where("t.dst <> o.dst").select("src", F.col("t.dst").alias("dst"), F.col("o.dst").alias("other"))
+    pair = pair.join(reach.select(F.col("src").alias("other"), "dst"), ["other", "dst"], "left_semi").select("src", "dst", "other")
+    many = both.join(sizes.where(~paired).select("src"), "src", "left_semi").withColumnRenamed("dst", "other")
+    met = many.join(reach.select(F.col("src").alias("other"), "dst"), "other").where("dst <> other").join(both, ["src", "dst"], "left_semi").select("src", "dst", "other")
     back = reach.select(F.col("src").alias("dst"), F.col("dst").alias("other"))
-    implied = pair.join(forth, ["other", "dst"], "left_semi").join(back, ["dst", "other"], "left_anti").select("src", "dst").distinct()
+    implied = pair.union(met).join(back, ["dst", "other"], "left_anti").select("src", "dst").distinct()
     return edges.join(implied, ["src", "dst"], "left_anti")
 
 
