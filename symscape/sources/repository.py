@@ -69,8 +69,13 @@ def extract(source: str, lang: str, path: str) -> list[dict]:
     return scanners.braces(source, SAME.get(lang, lang))
 
 
+def _spread(source: DataFrame) -> DataFrame:
+    """The files (snapshot, path, lang, text) over four tasks for each core. Parsing takes far longer than moving a text, and a table of millions of small sources may be read by a single task."""
+    return source.select("snapshot", "path", "lang", "text").repartition(4 * source.sparkSession.sparkContext.defaultParallelism, "snapshot", "path")
+
+
 def symbols(source: DataFrame) -> DataFrame:
-    """A row for each declaration of files (snapshot, path, lang, text). Each file is parsed once, where it is read; no shuffle."""
+    """A row for each declaration of files (snapshot, path, lang, text). Each file is parsed once, by any task, wherever it was read."""
     schema = pa.schema([(f[0], pa.list_(pa.string()) if f[1] == "array<string>" else pa.map_(pa.string(), pa.string()) if f[1].startswith("map") else pa.int32() if f[1] == "int" else pa.string()) for f in (x.strip().split(" ") for x in SYMBOLS.replace("map<string,string>", "map").split(", "))])
 
     def run(batches):
@@ -82,11 +87,12 @@ def symbols(source: DataFrame) -> DataFrame:
                     rows.append(row | {c: row.get(c) or [] for c in _LISTS} | {"bindings": list((row.get("bindings") or {}).items())})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return source.select("snapshot", "path", "lang", "text").mapInArrow(run, SYMBOLS)
+    return _spread(source).mapInArrow(run, SYMBOLS)
 
 
 def tokens(source: DataFrame) -> DataFrame:
     """(snapshot, file, token, n): identifiers of each file outside comments and strings, with Python's reads counted once more."""
+    source = _spread(source)
     plain = source.select("snapshot", F.col("path").alias("file"), F.explode(text.identifiers(text.without_comments_and_strings(F.col("text")))).alias("token")).groupBy("snapshot", "file", "token").agg(F.count("*").alias("n"), F.lit(True).alias("seen"))
 
     def run(batches):
