@@ -13,7 +13,7 @@ def read_by_one_task(spark, path, template):
     return repository.files_of(made)
 
 
-@pytest.mark.parametrize(("path", "template", "rows"), [("m§.ts", source_queries._WEB, 5)])
+@pytest.mark.parametrize(("path", "template", "rows"), [("m§.ts", source_queries._WEB, 5), ("r§.mk", source_queries._MAKE, 3)])
 def test_parsing_is_spread(spark, path, template, rows):
     found = repository.symbols(read_by_one_task(spark, path, template)).groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), F.countDistinct("file").alias("files")).collect()
     assert sum(r.n for r in found) == 500 * rows and sum(r.files for r in found) == 500
