@@ -55,10 +55,19 @@ def case_labels(facts: DataFrame) -> DataFrame:
 
 
 def contiguous_runs(rows: DataFrame, keys: list[str], place: str) -> DataFrame:
-    """(keys, first, n): runs of neighbouring places, whole numbers, of each key; repeated rows count once."""
-    one = rows.select(*keys, F.col(place).cast("long").alias("__p")).distinct()
-    island = F.col("__p") - F.row_number().over(Window.partitionBy(*keys).orderBy("__p"))
-    return one.withColumn("__i", island).groupBy(*keys, "__i").agg(F.min("__p").alias("first"), F.count("*").alias("n")).drop("__i")
+    """(keys, first, n): runs of neighbouring places, whole numbers, of each key; repeated rows count once.
+
+    Only begins and ends of runs are kept of the rows in order, and an end stands right after its begin. All steps go through one sort, so
+    that no task has a table of its rows or runs in memory."""
+    order = Window.partitionBy(*keys).orderBy("__p")
+    one = F.struct("__p")  # null only where there is no such row
+    p, before, after = F.col("__p"), F.col("__before"), F.col("__after")
+    near = lambda row, at: F.coalesce(row["__p"].eqNullSafe(p) | (row["__p"] == at), F.lit(False))
+    placed = rows.select(*keys, F.col(place).cast("long").alias("__p")).withColumns({"__before": F.lag(one).over(order), "__after": F.lead(one).over(order)})
+    edges = placed.select(*keys, "__p", (before.isNull() | ~near(before, p - 1)).alias("__begins"), (after.isNull() | ~near(after, p + 1)).alias("__ends")).where("__begins OR __ends").drop("__ends")
+    following = F.lead(F.struct("__p", "__begins")).over(order)
+    last = edges.withColumn("__next", following).where("__begins")
+    return last.select(*keys, p.alias("first"), F.coalesce(F.when(~F.col("__next.__begins"), F.col("__next.__p") - p + 1), F.lit(1)).cast("long").alias("n"))
 
 
 # --- members and groups
