@@ -6,6 +6,7 @@ declaration. Levels of what a budget leaves out need no further jobs."""
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -91,6 +92,13 @@ def _by_file(rows: pd.DataFrame) -> list[tuple[str, list[tuple]]]:
     return sorted(listed.items(), key=lambda x: x[0].split("/"))
 
 
+def _shown(files: list[tuple[str, list[tuple]]]) -> Callable[[set[tuple[str, int, str]]], list[tuple[str, list[tuple]]]]:
+    """keep -> the files, in order, that have something essential or kept, so that a trial doesn't go through all files."""
+    place = {path: k for k, (path, _) in enumerate(files)}
+    always = {k for k, (_, own) in enumerate(files) if any(essential for _, _, essential, _, _ in own)}
+    return lambda keep: [files[k] for k in sorted(always | {place[path] for path, _, _ in keep})]
+
+
 def _put_together(files: list[tuple[str, list[tuple]]], keep: set[tuple[str, int, str]] | None) -> str:
     parts: list[str] = []
     for path, own in files:
@@ -121,8 +129,10 @@ def build(files: DataFrame, facts: DataFrame, calls: DataFrame, tokens: DataFram
         known = {name((r.path, r.ordinal, r.category)): (r.category, f"tier {r.tier}") for r in tried.itertuples()}
         floor_names = {name((r.path, r.ordinal, r.category)) for r in tried.itertuples() if r.essential}
 
+        shown = _shown(by_file)
+
         def whole(keep) -> str:
-            body = _put_together(by_file, keep)
+            body = _put_together(by_file if keep is None else shown(keep), keep)
             return body + _footer(int(loc), int(given), state, body, budget)
 
         full = whole(None)
