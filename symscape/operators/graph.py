@@ -5,25 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symscape.storage import written
+from symscape.storage import drop, written
 
 
 def closure(edges: DataFrame, through: DataFrame | None = None) -> DataFrame:
     """(src, dst): dst can be reached from src over edges (src, dst). With through (node), src and all nodes between must be in it.
 
-    Rounds double the length of the paths known, so that a path of n edges takes log2(n) rounds, on graphs with cycles too."""
+    Rounds double the length of the paths known, so that a path of n edges takes log2(n) rounds, on graphs with cycles too. A round goes on
+    from the pairs that the one before found alone: the first half of a shortest path that is still missing is among them."""
     known = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct()
     if through is not None:
         known = known.join(through.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
-    known = written(known, "closure")
-    n = known.count()
+    known = last = written(known, "closure")
     while True:
-        longer = known.alias("a").join(known.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-        known = written(known.union(longer).distinct(), "closure", known)
-        now = known.count()
-        if now == n:
+        longer = last.alias("a").join(known.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
+        last = written(longer.distinct().join(known, ["src", "dst"], "left_anti"), "closure")
+        if not last.count():
+            drop(last)
             return known
-        n = now
+        known = known.union(last)
 
 
 def transitive_reduction(edges: DataFrame, reach: DataFrame) -> DataFrame:
